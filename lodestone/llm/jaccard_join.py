@@ -6,11 +6,15 @@
 3. N-grams that stand in the head of two different sets name a bundle: their smallest member leads it, and every set
    that shares such an n-gram with it belongs to it. So each pair that can link meets in a bundle, and the n-grams of a
    cluster, which mostly have the same smallest member, give one bundle or a few and not one for each n-gram.
-4. A bundle is processed in blocks of bounded size, the leader in each. A block's sets go one by one, shortest first,
+4. Most members share just a passage. Each set's n-grams are counted by 256 buckets; the sum of the lesser counts
+   of two sets is no less than what they share, so members for which no other of the bundle can reach the threshold go
+   before any text is moved.
+5. A bundle is processed in blocks of bounded size, the leader in each. A block's sets go one by one, shortest first,
    through a trie of those before: shared beginnings are compared once, and a subtree goes as soon as the n-grams that
    remain can't reach the threshold, or all it holds is already in the same component.
-5. Links that join two components of a block go to connected components. Bundles of more than one block whose members
-   are then in different components are compared again by pairs of blocks, so no link is lost.
+6. First every text is sent to one of its bundles only. Links that join two components of a block go to connected
+   components. Bundles whose members are then in different components are compared again, those of several blocks by
+   pairs of blocks, so no link is lost.
 
 No pairs of a group are listed: a block gives fewer links than it has members."""
 
@@ -109,6 +113,17 @@ def _links(members: list, percent: int, parent: list[int]) -> Iterator[tuple[int
             node, at = kid, at + same
 
 
+_SCAN = "id long, n long, d1 long, d2 long, sig binary, bucket long, seen long"
+
+
+def _signature(x) -> bytes | None:
+    """How many n-grams each of 256 buckets has; None if it is more than a byte holds."""
+    import numpy as np
+
+    counts = np.bincount((x & np.uint64(255)).astype(np.uint8), minlength=256)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
 def _scan(width: int, bits: int):
     """For each text its set's size and digest, and at the end of the task the sketch: how many sets have an n-gram of each bucket."""
 
@@ -120,23 +135,25 @@ def _scan(width: int, bits: int):
         from lodestone.llm import shingles
 
         counts = np.zeros(1 << bits, dtype=np.int64)
+        names = ["id", "n", "d1", "d2", "sig", "bucket", "seen"]
         for batch in batches:
             for at, n, data, ends in slices(batch, "text"):
                 size, one, two = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-                every = []
+                every, sigs = [], [None] * n
                 for k, x in enumerate(shingles.sets(data, ends, width)):
                     if len(x):
                         every.append(x)
                         d = xxhash.xxh3_128_digest(x.tobytes())
                         size[k] = len(x)
                         one[k], two[k] = np.frombuffer(d, dtype=np.int64)
+                        sigs[k] = _signature(x)
                 if every:
                     counts += np.bincount((np.concatenate(every) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
                 none = pa.nulls(n, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(size), pa.array(one), pa.array(two), none, none], names=["id", "n", "d1", "d2", "bucket", "seen"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(size), pa.array(one), pa.array(two), pa.array(sigs, pa.binary()), none, none], names=names)
         full = np.flatnonzero(counts)
         none = pa.nulls(len(full), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(full), pa.array(counts[full])], names=["id", "n", "d1", "d2", "bucket", "seen"])
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(full), pa.binary()), pa.array(full), pa.array(counts[full])], names=names)
 
     return run
 
@@ -230,6 +247,57 @@ def _blocks(width: int, percent: int, ranks):
     return run
 
 
+def _possible(percent: int):
+    """Rows sorted by bundle and block, each with id, comp, n and sig: those that may link with another of their block and not of their component."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        names = ["bundle", "block", "id", "comp"]
+        blank = bytes(256)
+
+        def solve(rows):
+            if len(rows) < 2:
+                return []
+            n = np.array([r[4] for r in rows])
+            comp = np.array([r[3] for r in rows])
+            sig = np.frombuffer(b"".join(r[5] or blank for r in rows), dtype=np.uint8).reshape(len(rows), 256)
+            big = np.array([r[5] is None for r in rows])
+            ids = np.array([r[2] for r in rows])
+            out = []
+            for k, r in enumerate(rows):
+                close = (ids != r[2]) & (np.minimum(n, n[k]) * 100 >= percent * np.maximum(n, n[k]))
+                if r[3] >= 0:
+                    close &= comp != r[3]
+                at = np.flatnonzero(close)
+                if len(at) and not (big[k] or big[at].any()):
+                    shared = np.minimum(sig[at], sig[k]).sum(axis=1, dtype=np.int64)
+                    at = at[(100 + percent) * shared >= percent * (n[at] + n[k])]
+                if len(at):
+                    out.append(r[:4])
+            return out
+
+        def batch_of(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=names)
+
+        now, rows, out = None, [], []
+        for batch in batches:
+            for r in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (*names, "n", "sig")), strict=True):
+                if r[:2] != now:
+                    out += solve(rows)
+                    now, rows = r[:2], []
+                rows.append(r)
+            if len(out) > 10_000:
+                yield batch_of(out)
+                out = []
+        out += solve(rows)
+        if out:
+            yield batch_of(out)
+
+    return run
+
+
 def _ranks(spark: SparkSession, sketch: DataFrame, bits: int):
     """Broadcast a byte for each of the 2**bits buckets: 0 as common as the mean or less than twice it, then by doublings."""
     import numpy as np
@@ -250,8 +318,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     smaller id. No rows give no rows."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    seen = scratch(rows.mapInArrow(_scan(width, sketch_bits), "id long, n long, d1 long, d2 long, bucket long, seen long"), "sets")
-    sized = seen.where("bucket is null").select("id", "n", "d1", "d2")
+    seen = scratch(rows.mapInArrow(_scan(width, sketch_bits), _SCAN), "sets")
+    sized = seen.where("bucket is null").select("id", "n", "d1", "d2", "sig")
     if not sized.where("id is not null").groupBy("id").count().where("count > 1").isEmpty():
         return _with_repeats(docs, id_col, text_col, width, percent, block, sketch_bits)
     ranks = _ranks(spark, seen.where("bucket is not null").select("bucket", "seen"), sketch_bits)
@@ -265,27 +333,41 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sizes = pairs.groupBy("bundle").agg(F.ceil((F.count("*") + 1) / F.lit(block)).cast("int").alias("blocks"))
     members = pairs.join(sizes, "bundle").select("bundle", "d1", "blocks", F.pmod(F.xxhash64("d1", F.lit(7)), "blocks").cast("int").alias("block"))
     leaders = sizes.select("bundle", F.col("bundle").alias("d1"), "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    placed = members.unionByName(leaders).join(of_set.select("d1", "rep"), "d1").select("bundle", "block", "blocks", F.col("rep").alias("id"))
+    placed = members.unionByName(leaders).join(of_set.select("d1", "rep"), "d1").select("bundle", "blocks", F.col("block").cast("string").alias("block"), F.col("rep").alias("id"), F.lit(-1).cast("long").alias("comp"))
     placed = scratch(placed.distinct(), "placed")
+    signed = sized.where("n > 0 and id is not null").select("id", "n", "sig")
+    at = ["bundle", "block"]
+
+    def possible(rows: DataFrame) -> DataFrame:
+        dealt = rows.join(signed, "id").repartition(*at).sortWithinPartitions(*at)
+        return dealt.select(*at, "id", "comp", "n", "sig").mapInArrow(_possible(percent), "bundle long, block string, id long, comp long")
 
-    def linked(where: DataFrame) -> DataFrame:
-        """where: bundle, block, id, comp."""
-        dealt = where.join(named, "id").repartition("bundle", "block").sortWithinPartitions("bundle", "block")
-        return dealt.select("bundle", "block", "id", "comp", "text").mapInArrow(_blocks(width, percent, ranks), "a long, b long")
+    wide = placed.where("blocks > 1").select(*at, "id", "comp")
+    stay = scratch(possible(placed.where("blocks = 1")).unionByName(wide), "members")
+    texts = scratch(named.join(stay.select("id").distinct(), "id"), "texts")
 
-    links = scratch(linked(placed.select("bundle", "block", "id", F.lit(-1).cast("long").alias("comp"))), "links")
+    def linked(rows: DataFrame) -> DataFrame:
+        dealt = rows.join(texts, "id").repartition(*at).sortWithinPartitions(*at)
+        return dealt.select(*at, "id", "comp", "text").mapInArrow(_blocks(width, percent, ranks), "a long, b long")
+
+    once = stay.groupBy("id").agg(F.min(F.struct(*at)).alias("to")).select("to.bundle", "to.block", "id", F.lit(-1).cast("long").alias("comp"))
+    links = scratch(linked(once.unionByName(wide).distinct()), "links")
     comps = connected_components(links)
 
-    wide = placed.where("blocks > 1").select("bundle", "block", "blocks", "id")
+    def apart(rows: DataFrame) -> DataFrame:
+        """Of rows, with the components so far, the bundles that hold more than one."""
+        now = rows.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+        split = now.groupBy("bundle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bundle")
+        return now.join(split, "bundle")
+
+    rest = apart(stay.join(wide.select("bundle").distinct(), "bundle", "left_anti")).select(*at, "id", "comp")
     if not wide.isEmpty():
-        wide = wide.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-        split = wide.groupBy("bundle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bundle")
-        wide = wide.join(split, "bundle")
-        grid = wide.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("with != block")
-        grid = grid.select("bundle", F.concat_ws("-", F.least("block", "with"), F.greatest("block", "with")).alias("block"), "id", "comp")
-        more = scratch(linked(grid), "links")
-        if not more.isEmpty():
-            comps = connected_components(links.unionByName(more))
+        blocks = placed.where("blocks > 1").select("bundle", "blocks").distinct()
+        grid = apart(wide).join(blocks, "bundle").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("own", F.col("block").cast("int")).where("with != own")
+        rest = rest.unionByName(grid.select("bundle", F.concat_ws("-", F.least("own", "with"), F.greatest("own", "with")).alias("block"), "id", "comp").distinct())
+    more = scratch(linked(possible(rest)), "links")
+    if not more.isEmpty():
+        comps = connected_components(links.unionByName(more))
 
     label = of_set.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
     out = sized.join(label, ["d1", "d2", "n"], "left")
@@ -312,7 +394,7 @@ def _with_repeats(docs: DataFrame, id_col: str, text_col: str, width: int, perce
 
 def jaccard_sizes(rows: DataFrame, width: int) -> DataFrame:
     """Rows without an id: their set's size, and no component."""
-    seen = rows.select("id", "text").mapInArrow(_scan(width, SKETCH_BITS), "id long, n long, d1 long, d2 long, bucket long, seen long")
+    seen = rows.select("id", "text").mapInArrow(_scan(width, SKETCH_BITS), _SCAN)
     return seen.where("bucket is null").select("id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
 
 
