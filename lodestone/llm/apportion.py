@@ -88,7 +88,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     null or repeated ids are documents of their own; among rows with equal ids and sizes it is not fixed which is
     taken. No rows give no rows. A document's `taken` is at most cap (a whole number) times its size."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("_source"), n_words(F.col(text_col)).alias("size"), *keep)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("_source"), n_words(F.col(text_col)).alias("size"), F.struct(F.lit(0).alias("_"), *keep).alias("_keep"))
     if not keep:  # else the words are counted again, so that texts are not written once more
         rows = scratch(rows, "sizes")
     per = sorted((r["_source"] is None, r["_source"] or "", r["n"]) for r in rows.groupBy("_source").agg(F.sum("size").alias("n")).collect())  # a row for each source
@@ -126,4 +126,4 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     begin = F.col("_end") - F.col("size")
     shared = lambda a, b: F.greatest(F.least(F.col("_end"), b) - F.greatest(begin, a), F.lit(0))
     taken = F.col("size") * F.floor(F.col("_quota") / F.col("_blocks")) + shared(lo, hi) + shared(F.lit(0), over)
-    return marked.select("doc_id", "size", "source_size", "target", F.coalesce(taken, F.lit(0)).cast("long").alias("taken"), *keep)
+    return marked.select("doc_id", "size", "source_size", "target", F.coalesce(taken, F.lit(0)).cast("long").alias("taken"), *(F.col("_keep")[c].alias(c) for c in keep))

@@ -83,20 +83,26 @@ def _places(text: Column, pattern: str) -> Column:
     return F.aggregate(both, start, step, lambda acc: acc["out"])
 
 
+def _checked(valid):
+    return lambda x: valid(x["v"])
+
+
+def _span(text: Column, order: int, kind: str):
+    def span(x):
+        before = F.lower(F.substring(text, F.greatest(x["s"] - REACH + 1, F.lit(1)), F.least(x["s"], F.lit(REACH))))
+        score = F.lit(SCORE[kind]) + F.when(before.rlike(NEAR[kind]), RAISE).otherwise(0.0) - F.when(before.rlike(AGAINST), LOWER).otherwise(0.0)
+        return F.struct(x["s"].alias("start"), F.lit(order).alias("ord"), x["e"].alias("end"), F.lit(kind).alias("kind"), F.round(score, 3).alias("score"))
+
+    return span
+
+
 def spans(text: Column) -> Column:
     """array<struct<start, ord, end, kind, score>> of all spans, by start, then kind. A null text is empty."""
     text = F.coalesce(text, F.lit(""))
     found = []
-    for order, kind in enumerate(BASE + EXTRA):
-        may, searched, pattern, valid = _kinds(text)[kind]
-
-        def score(x, kind=kind):
-            before = F.lower(F.substring(text, F.greatest(x["s"] - REACH + 1, F.lit(1)), F.least(x["s"], F.lit(REACH))))
-            return F.lit(SCORE[kind]) + F.when(before.rlike(NEAR[kind]), RAISE).otherwise(0.0) - F.when(before.rlike(AGAINST), LOWER).otherwise(0.0)
-
-        good = F.filter(_places(searched, pattern), lambda x, valid=valid: valid(x["v"]))
-        each = F.transform(good, lambda x, order=order, kind=kind, score=score: F.struct(x["s"].alias("start"), F.lit(order).alias("ord"), x["e"].alias("end"), F.lit(kind).alias("kind"), F.round(score(x), 3).alias("score")))
-        found.append(F.when(may, each).otherwise(F.array().cast(f"array<{_SPAN}>")))
+    for order, (kind, (may, searched, pattern, valid)) in enumerate(_kinds(text).items()):
+        good = F.filter(_places(searched, pattern), _checked(valid))
+        found.append(F.when(may, F.transform(good, _span(text, order, kind))).otherwise(F.array().cast(f"array<{_SPAN}>")))
     extra = F.filter(F.concat(*found), lambda x: (x["ord"] < len(BASE)) | (x["score"] >= NEEDED))
     return F.array_sort(extra)
 
