@@ -13,13 +13,15 @@
    through a trie of those before: shared beginnings are compared once, and a subtree goes as soon as the n-grams that
    remain can't reach the threshold, or all it holds is already in the same component.
 6. First every text is sent to one of its bundles only. Links that join two components of a block go to connected
-   components. Bundles whose members are then in different components are compared again, those of several blocks by
-   pairs of blocks, so no link is lost.
+   components. Bundles whose members are then in different components are compared again, so no link is lost. A bundle
+   too large for a block is dealt by size class, as sets that link are of one class or adjoining ones, and by
+   blocks within a class; then pairs of such blocks are compared where components differ.
 
 No pairs of a group are listed: a block gives fewer links than it has members."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,9 +30,11 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import scratch, slices
 from lodestone.llm.components import connected_components
 
-SKETCH_BITS = 15
+SKETCH_BITS = 17
 #: Members in a block of a bundle.
 BLOCK = 512
+#: So many ids are broadcast to fetch their texts (about 16 MB); more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 
 
 class Trie:
@@ -299,13 +303,13 @@ def _possible(percent: int):
 
 
 def _ranks(spark: SparkSession, sketch: DataFrame, bits: int):
-    """Broadcast a byte for each of the 2**bits buckets: 0 as common as the mean or less than twice it, then by doublings."""
+    """Broadcast a byte for each of the 2**bits buckets: 0 up to a quarter above the mean, then by thirds of doublings."""
     import numpy as np
 
     counts = np.zeros(1 << bits)
     for bucket, seen in sketch.groupBy("bucket").agg(F.sum("seen")).toLocalIterator():  # 2**bits rows at most
         counts[bucket] = seen
-    rank = np.floor(np.log2(np.maximum(counts / max(counts.mean(), 64.0), 1.0)) * 2)
+    rank = np.floor(np.log2(np.maximum(counts / max(counts.mean(), 64.0), 1.0)) * 3)
     return spark.sparkContext.broadcast(np.minimum(rank, 31).astype(np.uint8))
 
 
@@ -330,28 +334,47 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared = heads.groupBy("token").agg(F.min("d1").alias("bundle"), F.max("d1").alias("other")).where("bundle < other").select("token", "bundle")
     pairs = scratch(heads.join(shared, "token").where("d1 != bundle").select("bundle", "d1").distinct(), "bundles")
 
-    sizes = pairs.groupBy("bundle").agg(F.ceil((F.count("*") + 1) / F.lit(block)).cast("int").alias("blocks"))
-    members = pairs.join(sizes, "bundle").select("bundle", "d1", "blocks", F.pmod(F.xxhash64("d1", F.lit(7)), "blocks").cast("int").alias("block"))
-    leaders = sizes.select("bundle", F.col("bundle").alias("d1"), "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    placed = members.unionByName(leaders).join(of_set.select("d1", "rep"), "d1").select("bundle", "blocks", F.col("block").cast("string").alias("block"), F.col("rep").alias("id"), F.lit(-1).cast("long").alias("comp"))
+    step = math.log(100 / percent) * 1.0001  # sets that link are of one class of sizes or of adjoining ones
+    members = pairs.select("bundle", "d1").unionByName(pairs.select("bundle", F.col("bundle").alias("d1")).distinct())
+    placed = members.join(of_set.select("d1", "n", "rep"), "d1").select("bundle", F.col("rep").alias("id"), "n", F.floor(F.log("n") / step).cast("int").alias("cls"), (F.col("d1") == F.col("bundle")).alias("leads"))
     placed = scratch(placed.distinct(), "placed")
-    signed = sized.where("n > 0 and id is not null").select("id", "n", "sig")
-    at = ["bundle", "block"]
+    signed = sized.where("n > 0 and id is not null").select("id", "sig")
+    at, own, none = ["bundle", "block"], F.concat_ws(".", "cls", "i"), F.lit(-1).cast("long").alias("comp")
+
+    sizes = placed.groupBy("bundle").agg(F.count("*").alias("m"))
+    wide = sizes.where(F.col("m") > block).select("bundle")
+    narrow = placed.join(sizes.where(F.col("m") <= block).select("bundle"), "bundle").select("bundle", F.lit("0").alias("block"), "id", "n", none)
+    counts = placed.join(wide, "bundle").groupBy("bundle", "cls").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    dealt = placed.join(counts, ["bundle", "cls"]).withColumn("i", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    dealt = scratch(dealt.select("bundle", "cls", "i", "id", "n", "leads"), "dealt")
+
+    def beside(rows: DataFrame) -> DataFrame:
+        """rows once for each other block of their size class and the adjoining ones, which is `to`."""
+        near = rows.withColumn("to_cls", F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1)))
+        near = near.join(counts.select("bundle", F.col("cls").alias("to_cls"), "blocks"), ["bundle", "to_cls"])
+        near = near.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        return near.withColumn("to", F.concat_ws(".", "to_cls", "j")).where(F.col("to") != own)
+
+    leaders = beside(dealt.where("leads")).select("bundle", F.col("to").alias("block"), "id", "n", none)
+    first = narrow.unionByName(dealt.select("bundle", own.alias("block"), "id", "n", none)).unionByName(leaders)
 
     def possible(rows: DataFrame) -> DataFrame:
-        dealt = rows.join(signed, "id").repartition(*at).sortWithinPartitions(*at)
-        return dealt.select(*at, "id", "comp", "n", "sig").mapInArrow(_possible(percent), "bundle long, block string, id long, comp long")
-
-    wide = placed.where("blocks > 1").select(*at, "id", "comp")
-    stay = scratch(possible(placed.where("blocks = 1")).unionByName(wide), "members")
-    texts = scratch(named.join(stay.select("id").distinct(), "id"), "texts")
-
-    def linked(rows: DataFrame) -> DataFrame:
-        dealt = rows.join(texts, "id").repartition(*at).sortWithinPartitions(*at)
-        return dealt.select(*at, "id", "comp", "text").mapInArrow(_blocks(width, percent, ranks), "a long, b long")
-
-    once = stay.groupBy("id").agg(F.min(F.struct(*at)).alias("to")).select("to.bundle", "to.block", "id", F.lit(-1).cast("long").alias("comp"))
-    links = scratch(linked(once.unionByName(wide).distinct()), "links")
+        sorted_rows = rows.join(signed, "id").repartition(*at).sortWithinPartitions(*at)
+        return sorted_rows.select(*at, "id", "comp", "n", "sig").mapInArrow(_possible(percent), "bundle long, block string, id long, comp long")
+
+    def with_texts(ids: DataFrame) -> DataFrame:
+        few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+        return scratch(named.join(F.broadcast(ids) if few else ids, "id"), "texts")
+
+    def linked(rows: DataFrame, texts: DataFrame) -> DataFrame:
+        sorted_rows = rows.join(texts, "id").repartition(*at).sortWithinPartitions(*at)
+        return scratch(sorted_rows.select(*at, "id", "comp", "text").mapInArrow(_blocks(width, percent, ranks), "a long, b long"), "links")
+
+    stay = scratch(possible(first), "members")
+    texts = with_texts(stay.select("id").distinct())
+    once = stay.groupBy("id").agg(F.min(F.struct(*at)).alias("to")).select("to.bundle", "to.block", "id", none)
+    leading = stay.join(dealt.where("leads").select("bundle", "id"), ["bundle", "id"], "left_semi").select(*at, "id", "comp")
+    links = linked(once.unionByName(leading).distinct(), texts)
     comps = connected_components(links)
 
     def apart(rows: DataFrame) -> DataFrame:
@@ -360,13 +383,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         split = now.groupBy("bundle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bundle")
         return now.join(split, "bundle")
 
-    rest = apart(stay.join(wide.select("bundle").distinct(), "bundle", "left_anti")).select(*at, "id", "comp")
-    if not wide.isEmpty():
-        blocks = placed.where("blocks > 1").select("bundle", "blocks").distinct()
-        grid = apart(wide).join(blocks, "bundle").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("own", F.col("block").cast("int")).where("with != own")
-        rest = rest.unionByName(grid.select("bundle", F.concat_ws("-", F.least("own", "with"), F.greatest("own", "with")).alias("block"), "id", "comp").distinct())
-    more = scratch(linked(possible(rest)), "links")
-    if not more.isEmpty():
+    sized_ids = placed.select("bundle", "id", "n").distinct()
+    rest = apart(stay.drop("comp").join(sized_ids, ["bundle", "id"])).select(*at, "id", "n", "comp")
+    if not dealt.isEmpty():
+        grid = beside(apart(dealt)).select("bundle", F.concat_ws("-", F.least(own, "to"), F.greatest(own, "to")).alias("block"), "id", "n", "comp")
+        rest = rest.unionByName(grid)
+    rest = scratch(possible(rest), "members")
+    if not rest.isEmpty():
+        new = rest.join(texts.select("id"), "id", "left_anti").select("id").distinct()
+        more = linked(rest, texts if new.isEmpty() else texts.unionByName(with_texts(new)))
         comps = connected_components(links.unionByName(more))
 
     label = of_set.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
