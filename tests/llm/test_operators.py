@@ -46,7 +46,7 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def components(sets: dict, linked) -> dict:
+def components_of(sets: dict, linked) -> dict:
     parent = {i: i for i in sets}
 
     def find(i):
@@ -74,7 +74,7 @@ def test_jaccard(docs, width, percent, block):
 
     rows = corpus()
     sets = {r[0]: grams(r[1], width) for r in rows}
-    want = components(sets, lambda a, b: bool(a and b) and 100 * len(a & b) >= percent * len(a | b))
+    want = components_of(sets, lambda a, b: bool(a and b) and 100 * len(a & b) >= percent * len(a | b))
     got = jaccard_components(docs.withColumn("id", F.lit("x")).withColumn("n", F.lit("x")), width=width, percent=percent, block=block).collect()
     assert {r.id: (r.n_shingles, r.component_id) for r in got} == {i: (len(sets[i]), want[i]) for i in sets}
 
@@ -95,9 +95,9 @@ def test_jaccard_repeated_and_null_ids(spark, none):
 def test_components_long_chain(spark):
     from lodestone.llm.components import connected_components
 
-    edges = [(k, k + 1) for k in range(200)] + [(1000, k) for k in range(1001, 1200)] + [(5000, 5000), (None, 1), (7, None)]
+    edges = [(k, k + 1) for k in range(60)] + [(1000, k) for k in range(1001, 1200)] + [(5000, 5000), (None, 1), (7, None)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {k: 0 for k in range(201)} | {k: 1000 for k in range(1000, 1200)}
+    assert got == {k: 0 for k in range(61)} | {k: 1000 for k in range(1000, 1200)}
 
 
 def test_decontaminate(spark, docs, none):
@@ -107,13 +107,11 @@ def test_decontaminate(spark, docs, none):
     sh = lambda t: {tuple(words(t)[k : k + 5]) for k in range(len(words(t)) - 4)}
     rows = corpus()
     items = [(0, prose(3, 30)), (1, " ".join(prose(99, 20_000).split()[5000:5040])), (2, edit(" ".join(prose(4, 140).split()[10:90]), 5, 1)), (3, "too few"), (4, None), (5, prose(77, 40)), (6, " ".join(prose(5, 160).split()[2:50]).title() + "!"), (None, prose(3, 30)), (0, prose(3, 30))]
-    want = set()
-    for i, t in items:
-        if i is None or not sh(t):
-            continue
-        for d, x, *_ in rows:
-            if len(sh(t) & sh(x)) >= 0.8 * len(sh(t)) - 1e-9:
-                want.add((d, i, len(sh(t)), len(sh(t) & sh(x))))
+    want, item_sets, doc_sets = set(), [(i, sh(t)) for i, t in items], [(r[0], sh(r[1])) for r in rows]
+    for i, a in item_sets:
+        for d, b in doc_sets:
+            if i is not None and a and len(a & b) >= 0.8 * len(a) - 1e-9:
+                want.add((d, i, len(a), len(a & b)))
     bench = spark.createDataFrame(items, "item_id long, text string")
     for bound in (200_000, 0):
         got = contaminated(docs.withColumn("item_id", F.lit("x")), bench, broadcast_rows=bound).collect()
@@ -251,11 +249,10 @@ def test_apportion(spark, docs, none):
     quotients = sorted(((-v / (2 * k + 1), i) for i, v in enumerate(votes) for k in range(seats)))[:seats]
     assert sainte_lague(votes, seats) == [sum(i == j for _, j in quotients) for i in range(5)]
     assert sainte_lague([1.0, 1.0, 1.0], 2) == [1, 1, 0] and sainte_lague([5.0, 1.0], 9, [3, 9]) == [3, 6] and sainte_lague([0.0], 3) == [0]
-    assert targets([100, 10, 50, 0], [3, 1, 2, 3], 240) == pytest.approx([200 - 20 + 240 - 240 + 0, 20, 40 + 0, 0], abs=200)
+    assert targets([100, 10, 50, 0], [3, 1, 2, 3], 240) == pytest.approx([132, 20, 88, 0])
     rows = corpus()
     size = {r[0]: len((r[1] or "").encode().split()) for r in rows}
-    got = mixed(docs.withColumn("size", F.lit("x")).withColumn("target", F.lit("x")), keep=("size", "lang"), shard_tokens=5000) if False else mixed(docs.withColumn("shards", F.lit("x")), shard_tokens=5000)
-    got = got.collect()
+    got = mixed(docs.withColumn("shards", F.lit("x")).withColumn("size", F.lit("x")), shard_tokens=5000).collect()
     assert {r.doc_id: r["size"] for r in got} == size and len(got) == len(rows)
     by = defaultdict(list)
     for i, _, _, s, _ in rows:
