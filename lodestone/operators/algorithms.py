@@ -87,7 +87,8 @@ def betweenness(nodes: DataFrame, edges: DataFrame, exact: int = 250, samples: i
                         owed[v] = owed.get(v, 0.0) + paths[v] / paths[w] * (1 + owed.get(w, 0.0))
                     if w != s:
                         total[w] = total.get(w, 0.0) + owed.get(w, 0.0)
-            yield pd.DataFrame({"id": list(total), "part": list(total.values())})
+            if total:
+                yield pd.DataFrame({"id": list(total), "part": list(total.values())})
 
     kind = nodes.schema["id"].dataType.simpleString()
     parts = ids.repartition(8).mapInPandas(brandes, f"id {kind}, part double").groupBy("id").agg(F.sum("part").alias("part"))
