@@ -187,8 +187,12 @@ def parse(data: bytes) -> dict:
         else:
             good = False
         if not good:
-            to = data.find(b"\xff", at + 1, stop)
-            to = stop if to < 0 else to
+            if (inner := _id3v2(data, at))[0] > at:  # a tag that is not at the beginning
+                at = inner[0]
+                tags |= inner[1]
+                continue
+            places = (data.find(b"\xff", at + 1, stop), data.find(b"ID3", at + 1, stop))
+            to = min((p for p in places if p >= 0), default=stop)
             out["skipped"] += to - at
             at = to
             continue

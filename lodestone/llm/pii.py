@@ -62,7 +62,7 @@ def _kinds(text: Column) -> dict:
         "ip": (text.rlike("[0-9]\\.[0-9]+\\.[0-9]+\\.[0-9]"), text, "(?<![0-9])[0-9]++(?:\\.[0-9]++){3}", _small_parts),
         "card": (text.rlike("[0-9](?:[ -]?[0-9]){13}"), _marked(text, "(?<=[0-9])[ -](?=[0-9])"), f"[0-9][0-9{MARK}]++", lambda v: between(v, 14, 19) & luhn(_digits(v))),
         "phone": (text.rlike("\\+[0-9]"), text, "\\+[0-9][ ().0-9-]+[0-9]", lambda v: between(v, 10, 15)),
-        "iban": (text.rlike("[A-Z]{2}[0-9]{2}[ A-Z0-9]{11}"), text, "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", lambda v: F.length(F.replace(v, F.lit(" "), F.lit(""))).between(15, 34) & mod97(F.replace(v, F.lit(" "), F.lit("")))),
+        "iban": (text.rlike("[A-Z]{2}[0-9]{2}[ A-Z0-9]{11}"), text, "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?|[A-Z0-9]{11,30})(?![A-Za-z0-9])", lambda v: F.length(F.replace(v, F.lit(" "), F.lit(""))).between(15, 34) & mod97(F.replace(v, F.lit(" "), F.lit("")))),
         "ssn": (text.rlike("[0-9]{3}-[0-9]{2}-[0-9]{4}"), text, "(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", lambda v: F.lit(True)),
     }
 
