@@ -17,6 +17,8 @@ from lodestone.llm.common import scratch, slices
 #: Statistics by name, in order.
 NAMES = ("words", "bytes a word", "distinct words", "repeats of the word before", "upper case", "digits", "stops", "symbols", "bars", "shouts", "lines", "words without letters", "long words", "other bytes", "commonest word")
 SHRINKAGE, RIDGE, SPREAD, KEEP = 0.1, 1e-3, 1.0, 0.3
+#: Words of a usual text that each text is taken to have besides its own.
+PRIOR = 20.0
 
 _CLASSES = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz", "digit": b"0123456789", "stop": b".,;:?", "symbol": b"#$%&*{}<>=@\\^~+/_", "bar": b"|", "shout": b"!", "line": b"\n", "space": b" \t\r\x0b\x0c"}
 
@@ -58,11 +60,12 @@ def features(data: bytes, ends: list[int]):
     solid = size - count["line"] - count["space"]
     letters = count["upper"] + count["lower"] + count["other"]
 
-    part = lambda x, of: np.log((x + 0.05) / (of + 1.0) + 1e-3)
-    lengths = np.log((solid + 1) / (m + 1))
+    # A rate is drawn towards what is usual as if the text had PRIOR more words, so that a few words do not look like an extreme text.
+    part = lambda x, of, usual: np.log((x + PRIOR * usual) / (of + PRIOR) + 1e-3)
+    lengths = np.log((solid + PRIOR * 5.5) / (m + PRIOR))
     return np.column_stack([
-        np.log1p(m), lengths, part(distinct, m), part(again, m), part(count["upper"], letters), part(count["digit"], solid), part(count["stop"], m), part(count["symbol"], m),
-        part(count["bar"], m), part(count["shout"], m), part(count["line"], m), part(np.maximum(solid - letters, 0), solid), lengths**2, part(count["other"], solid), part(top, m),
+        np.log1p(m), lengths, part(distinct, m, 0.65), part(again, m, 0.0), part(count["upper"], letters, 0.03), part(count["digit"], solid, 0.005), part(count["stop"], m, 0.15), part(count["symbol"], m, 0.0),
+        part(count["bar"], m, 0.0), part(count["shout"], m, 0.0), part(count["line"], m, 0.03), part(np.maximum(solid - letters, 0), solid, 0.03), lengths**2, part(count["other"], solid, 0.03), part(top, m, 0.08),
     ])
 
 
