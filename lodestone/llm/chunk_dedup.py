@@ -1,11 +1,12 @@
 """Substring deduplication by content-defined chunks: a gear hash cuts, a digest finds repeats.
 
-The gear hash of a place sums a random number for each of the last 32 bytes, each shifted by its distance, so a cut
-depends on nothing but these bytes: after an insertion the cuts are the same again 32 bytes on. All hashes of a run of
-texts are computed at once by doubling (windows of 1, 2, 4 ... 32 bytes). A place is a cut if the hash's top bits are
+The gear hash of a place sums a random number for each of the last 16 bytes, each shifted by its distance, so a cut
+depends on nothing but these bytes: after an insertion the cuts are the same again 16 bytes on. All hashes of a run of
+texts are computed at once by doubling (windows of 1, 2, 4, 8, 16 bytes). A place is a cut if the hash's top bits are
 zero and no such place stands within the `least` bytes before it; longer stretches without a cut are cut every `most` bytes.
-Chunks are then grouped by digest; adjoining chunks that repeat form one span, and spans of fewer than
-`min_bytes` are left alone (they are chance or boilerplate words, not passages)."""
+Chunks are then grouped by digest; adjoining chunks that repeat form one span. A repeated passage is seen from its first cut
+to its last, which is about eight words short of the whole, so spans of `min_words` (28) words stand for passages
+of about 36 and more; shorter ones are left alone, as chance or boilerplate words."""
 
 from __future__ import annotations
 
@@ -14,20 +15,20 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import slices
 
-MASK_BITS, LEAST, MOST, MIN_BYTES = 5, 16, 1024, 160
-_WINDOW = 32
+MASK_BITS, LEAST, MOST, MIN_WORDS = 4, 8, 1024, 28
+_WINDOW = 16
 
 
 def _gears():
-    """A 32-bit number for each byte by a linear congruential rule."""
+    """A 16-bit number for each byte by a linear congruential rule."""
     import numpy as np
 
     out, x = [], 0x2545F491
     for _ in range(256):
         for _ in range(3):
             x = (x * 6364136223846793005 + 1442695040888963407) & ((1 << 64) - 1)
-        out.append(x >> 32)
-    return np.array(out, dtype=np.uint32)
+        out.append(x >> 48)
+    return np.array(out, dtype=np.uint16)
 
 
 def cuts(data: bytes, ends: list[int], mask_bits: int = MASK_BITS, least: int = LEAST, most: int = MOST):
@@ -38,9 +39,9 @@ def cuts(data: bytes, ends: list[int], mask_bits: int = MASK_BITS, least: int =
     h = _gears()[np.frombuffer(data, dtype=np.uint8)]
     w = 1
     while w < _WINDOW:
-        h[w:] += h[:-w] << np.uint32(w)  # the right side is computed before it is added
+        h[w:] += h[:-w] << np.uint16(w)  # the right side is computed before it is added
         w *= 2
-    at = np.flatnonzero(h >> np.uint32(32 - mask_bits) == 0) + 1
+    at = np.flatnonzero(h >> np.uint16(16 - mask_bits) == 0) + 1
     ends = np.asarray(ends, dtype=np.int64)
     text = np.searchsorted(ends, at, side="left")  # a cut at a text's end belongs to that text
     begin = ends[np.maximum(text, 1) - 1]
@@ -57,6 +58,20 @@ def cuts(data: bytes, ends: list[int], mask_bits: int = MASK_BITS, least: int =
     return all_cuts
 
 
+def _word_starts(data: bytes, ends: list[int]):
+    """1 at each byte that begins a word."""
+    import numpy as np
+
+    b = np.frombuffer(data, dtype=np.uint8)
+    space = (b == 32) | ((b >= 9) & (b <= 13))
+    first = ~space
+    first[1:] &= space[:-1]
+    cut = np.asarray(ends[1:-1], dtype=np.int64)
+    cut = cut[cut < len(b)]
+    first[cut] = ~space[cut]
+    return first.astype(np.int32)
+
+
 def _chunks(mask_bits: int, least: int, most: int):
     def run(batches):
         import numpy as np
@@ -75,31 +90,32 @@ def _chunks(mask_bits: int, least: int, most: int):
                 view = memoryview(data)
                 d = np.fromiter((digest(view[a:b]) for a, b in zip(start.tolist(), stop.tolist(), strict=True)), dtype=np.uint64, count=len(stop))
                 base = np.asarray(ends, dtype=np.int64)[text]
-                yield pa.RecordBatch.from_arrays([ids.slice(at, n).take(pa.array(text)), pa.array((start - base).astype(np.int32)), pa.array((stop - start).astype(np.int32)), pa.array(d.view(np.int64))], names=["doc_id", "start", "size", "digest"])
+                words = np.add.reduceat(_word_starts(data, ends), start)
+                yield pa.RecordBatch.from_arrays([ids.slice(at, n).take(pa.array(text)), pa.array((start - base).astype(np.int32)), pa.array((stop - start).astype(np.int32)), pa.array(words.astype(np.int32)), pa.array(d.view(np.int64))], names=["doc_id", "start", "size", "words", "digest"])
 
     return run
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask_bits: int = MASK_BITS, least: int = LEAST, most: int = MOST) -> DataFrame:
-    """doc_id, start, size, digest: the chunks of every whole text, in UTF-8 bytes. Null and empty texts have none."""
+    """doc_id, start, size, words (that begin in it), digest: the chunks of every whole text, in UTF-8 bytes. Null and empty texts have none."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_chunks(mask_bits, least, most), "doc_id long, start int, size int, digest long")
+    return rows.mapInArrow(_chunks(mask_bits, least, most), "doc_id long, start int, size int, words int, digest long")
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask_bits: int = MASK_BITS, least: int = LEAST, most: int = MOST, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """doc_id, start, end, n_chunks, first_doc, keep: spans of UTF-8 bytes whose chunks stand in other documents too.
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask_bits: int = MASK_BITS, least: int = LEAST, most: int = MOST, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, start, end, n_chunks, n_words, first_doc, keep: spans of UTF-8 bytes whose chunks stand in other documents too.
 
     first_doc is the smallest id that has the span's first chunk; keep marks spans all of whose chunks stand there first, which
     a deduplication leaves. Repeats within one document only are not reported, nor are rows with a null id. Rows that
     repeat an id count as one document. Ties do not arise: a span belongs to one document. No rows give no rows."""
     each = chunks(docs, id_col, text_col, mask_bits, least, most).where("doc_id is not null")
-    shared = each.groupBy("digest", "size").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
-    found = each.join(shared, ["digest", "size"]).select("doc_id", "start", "size", "first_doc").distinct()
+    shared = each.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
+    found = each.join(shared, "digest").select("doc_id", "start", "size", "words", "first_doc").distinct()
     in_doc = Window.partitionBy("doc_id").orderBy("start", "size")
     opens = F.when(F.col("start") == F.lag(F.col("start") + F.col("size")).over(in_doc), 0).otherwise(1)
     spans = found.withColumn("opens", opens).withColumn("span", F.sum("opens").over(in_doc.rowsBetween(Window.unboundedPreceding, 0)))
     out = spans.groupBy("doc_id", "span").agg(
-        F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"), F.count("*").alias("n_chunks"),
+        F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"), F.count("*").alias("n_chunks"), F.sum("words").alias("n_words"),
         F.min_by("first_doc", "start").alias("first_doc"), F.min((F.col("first_doc") == F.col("doc_id")).cast("int")).cast("boolean").alias("keep"),
     )
-    return out.where(F.col("end") - F.col("start") >= min_bytes).select("doc_id", "start", "end", "n_chunks", "first_doc", "keep")
+    return out.where(F.col("n_words") >= min_words).select("doc_id", "start", "end", "n_chunks", "n_words", "first_doc", "keep")
