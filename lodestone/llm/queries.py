@@ -90,4 +90,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    from lodestone.llm.oracles import by_query
+
+    return by_query()
