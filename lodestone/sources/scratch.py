@@ -2,14 +2,32 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_written: list[tuple[SparkSession, str]] = []
 
 
 def scratch(df: DataFrame, what: str) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back; it outlives lost executors, and goes when the driver ends.
+
+    Only where no folder is set, as in tests, it lies below the warehouse."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
-    path = f"{root.rstrip('/')}/lodestone-graph/{what}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/lodestone/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _written:
+        atexit.register(_clean)
+    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _clean() -> None:
+    for spark, path in _written:
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session may have ended before; what stays is only scratch
+            return
