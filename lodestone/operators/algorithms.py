@@ -1,7 +1,7 @@
 """Iterative graph algorithms as loops of joins and aggregations, and betweenness with sources dealt to tasks.
 
 The lineage of a loop is cut in each round by a table in the shared checkpoint folder; nothing is collected but
-counts. Only betweenness broadcasts the graph, and it refuses graphs above a bound, for which sampled sources are no help."""
+counts. Betweenness broadcasts the graph and refuses graphs above a bound; communities are found on the driver up to one."""
 
 from __future__ import annotations
 
@@ -147,21 +147,83 @@ def cycles(edges: DataFrame, longest: int = 10, most: int = 100) -> DataFrame:
     return found.orderBy("length", "path").limit(most)
 
 
-def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 10, seed: int = 0) -> DataFrame:
+def louvain(nodes: list, weights: dict, seed: int = 0) -> dict:
+    """node -> community by Louvain's method: nodes move where modularity gains most, then communities become nodes, until nothing gains.
+
+    weights: (a, b) -> weight of an undirected graph, each pair once; (a, a) is a loop."""
+    home = {n: n for n in nodes}
+    while True:
+        near: dict = {n: {} for n in nodes}
+        degree = dict.fromkeys(nodes, 0.0)
+        for (a, b), w in weights.items():
+            degree[a] += w
+            degree[b] += w
+            if a != b:
+                near[a][b] = near[a].get(b, 0.0) + w
+                near[b][a] = near[b].get(a, 0.0) + w
+        total = sum(degree.values())
+        if not total:
+            return home
+        own, sums = {n: n for n in nodes}, dict(degree)
+        order, moved, changed = list(nodes), True, False
+        random.Random(seed).shuffle(order)
+        while moved:
+            moved = False
+            for n in order:
+                to: dict = {}
+                for m, w in near[n].items():
+                    to[own[m]] = to.get(own[m], 0.0) + w
+                sums[own[n]] -= degree[n]
+                gain = lambda c, n=n, to=to: to.get(c, 0.0) - degree[n] * sums[c] / total  # noqa: B023, E731
+                best = max(to, key=gain, default=own[n])
+                if gain(best) > gain(own[n]) + 1e-12:
+                    own[n], moved, changed = best, True, True
+                sums[own[n]] += degree[n]
+        if not changed:
+            return home
+        home = {n: own[c] for n, c in home.items()}
+        merged: dict = {}
+        for (a, b), w in weights.items():
+            pair = tuple(sorted((own[a], own[b]), key=str))
+            merged[pair] = merged.get(pair, 0.0) + w
+        weights, nodes = merged, sorted(set(own.values()), key=str)
+
+
+def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 20, seed: int = 0, most: int = 200_000) -> DataFrame:
+    """id, community (the least id in it) of the undirected graph (src, dst, weight).
+
+    Louvain's method on the driver for up to `most` nodes and edges together, counted first; label propagation by joins beyond."""
+    spark = nodes.sparkSession
+    if nodes.limit(most + 1).count() + edges.limit(most + 1).count() > most:
+        return propagated(nodes, edges, rounds, seed)
+    weights: dict = {}
+    for a, b, w in edges.select("src", "dst", "weight").orderBy("src", "dst").collect():
+        pair = (min(a, b), max(a, b))
+        weights[pair] = weights.get(pair, 0.0) + w
+    home = louvain([r[0] for r in nodes.select("id").orderBy("id").collect()], weights, seed)
+    least: dict = {}
+    for n, c in home.items():
+        least[c] = min(n, least.get(c, n))
+    kind = nodes.schema["id"].dataType.simpleString()
+    return spark.createDataFrame([(n, least[c]) for n, c in home.items()], f"id {kind}, community {kind}")
+
+
+def propagated(nodes: DataFrame, edges: DataFrame, rounds: int = 20, seed: int = 0) -> DataFrame:
     """id, community (the least id in it): label propagation by weight over the undirected graph, ties to the least label.
 
     Every other node, by a seeded hash, moves in each round, so that labels do not swing."""
     both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).where("src <> dst")
     both = scratch(both.groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "both")
-    labels = scratch(nodes.select("id", F.col("id").alias("label")), "labels")
+    labels, still = scratch(nodes.select("id", F.col("id").alias("label")), "labels"), 0
     for k in range(rounds):
         votes = both.join(labels.select(F.col("id").alias("dst"), "label"), "dst").groupBy("src", "label").agg(F.sum("weight").alias("w"))
-        best = votes.groupBy("src").agg(F.max_by("label", F.struct("w", F.xxhash64("label", F.lit(seed)))).alias("best"))
+        best = votes.groupBy("src").agg(F.min_by("label", F.struct(-F.col("w"), "label")).alias("best"))
         moves = F.pmod(F.xxhash64("id", F.lit(seed + k // 2)), F.lit(2)) == k % 2
         new = labels.join(best, labels.id == best.src, "left").select("id", F.when(moves, F.coalesce("best", "label")).otherwise(F.col("label")).alias("label"), F.col("label").alias("old"))
         new = scratch(new, "labels")
         labels = new.drop("old")
-        if k % 2 and new.where("label <> old").isEmpty():
+        still = still + 1 if new.where("label <> old").isEmpty() else 0
+        if still == 2:  # neither half moves
             break
     least = labels.groupBy("label").agg(F.min("id").alias("community"))
     return labels.join(least, "label").select("id", "community")
