@@ -1,14 +1,14 @@
-"""Shared helpers: reading tables, scratch tables in the shared folder, and batches for Python workers."""
+"""Shared helpers: reading tables, counting words, and batches for Python workers."""
 
 from __future__ import annotations
 
-import atexit
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.sources.scratch import scratch  # noqa: F401  (for the operators)
+
 #: White space of the word rule: space and 0x09-0x0D.
 SPACES = "[\\x20\\x09-\\x0D]"
 
@@ -17,46 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; below the warehouse only where none is set, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
-    return f"{root.rstrip('/')}/lodestone"
-
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def scratch(df: DataFrame, what: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts the lineage, and outlives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if not _written:
-        atexit.register(_clean)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session may be gone already; what stays is only scratch
-            return
-
-
 def n_words(text):
     """Number of words of a text column; 0 for null."""
     gaps = F.regexp_replace(F.coalesce(text, F.lit("")), f"^{SPACES}+|{SPACES}+$", "")
     return F.when(gaps == "", F.lit(0)).otherwise(F.size(F.split(gaps, f"{SPACES}+"))).cast("long")
 
 
-def by_arrow(df: DataFrame, run: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
-    return df.mapInArrow(run, schema)
-
-
 def slices(batch, column: str, most: int = 1 << 20) -> Iterator[tuple[int, int, bytes, list[int]]]:
     """Cut a batch into runs of rows with about `most` bytes of text: (first row, rows, bytes, offsets); null is empty.
 
