@@ -2,8 +2,8 @@
 
 Every round is two aggregations (combined before the shuffle) and two equi-joins that adaptive execution can split
 where a hub has very many edges; no node's neighbours are ever gathered into a row or a task. The edges of a round are
-written to the shared scratch folder, so an executor lost later costs only that round. The driver sees one row of
-counts a round."""
+written to the shared scratch folder, so an executor lost later costs only that round. The driver sees whether a
+round has left stars only."""
 
 from __future__ import annotations
 
@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import scratch
 
 
-def _sign(edges: DataFrame) -> tuple:
-    h = F.xxhash64("u", "v")
-    return tuple(edges.agg(F.count("*"), F.bit_xor(h), F.sum(F.shiftrightunsigned(h, 32))).first())
+def _is_settled(edges: DataFrame) -> bool:
+    """Whether the edges (u, v), v < u, are stars: each u has one v, and no v is a u. Then v is the least of its component."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    each = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return each.where("up > 1 or (up > 0 and down > 0)").limit(1).count() == 0
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -25,19 +27,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     rounds, logarithmic in the longest path for real graphs, don't end."""
     x, y = F.col(a), F.col(b)
     e = scratch(edges.select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).where(x.isNotNull() & y.isNotNull() & (x != y)).distinct(), "edges")
-    sign = _sign(e)
-    if not sign[0]:
-        return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(max_rounds):
+        if _is_settled(e):
+            break
         near = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = near.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = near.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("v"))
         rest = large.join(least.withColumnRenamed("v", "m"), "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = scratch(least.unionByName(rest).where(F.col("u") != F.col("v")).distinct(), "edges")
-        before, sign = sign, _sign(e)
-        if sign == before:
-            break
     else:
         raise RuntimeError(f"components did not settle within {max_rounds} rounds")
     out = e.select(F.col("u").alias("node"), F.col("v").alias("component"))

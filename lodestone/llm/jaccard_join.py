@@ -392,7 +392,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if not rest.isEmpty():
         new = rest.join(texts.select("id"), "id", "left_anti").select("id").distinct()
         more = linked(rest, texts if new.isEmpty() else texts.unionByName(with_texts(new)))
-        comps = connected_components(links.unionByName(more))
+        comps = connected_components(more.unionByName(comps.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
     label = of_set.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
     out = sized.join(label, ["d1", "d2", "n"], "left")
