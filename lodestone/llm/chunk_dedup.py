@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import slices
+from lodestone.llm.common import slices, small_batches
 
 MASK_BITS, LEAST, MOST, MIN_WORDS = 4, 8, 1024, 28
 _WINDOW = 16
@@ -99,7 +99,7 @@ def _chunks(mask_bits: int, least: int, most: int):
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask_bits: int = MASK_BITS, least: int = LEAST, most: int = MOST) -> DataFrame:
     """doc_id, start, size, words (that begin in it), digest: the chunks of every whole text, in UTF-8 bytes. Null and empty texts have none."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_chunks(mask_bits, least, most), "doc_id long, start int, size int, words int, digest long")
+    return small_batches(rows).mapInArrow(_chunks(mask_bits, least, most), "doc_id long, start int, size int, words int, digest long")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask_bits: int = MASK_BITS, least: int = LEAST, most: int = MOST, min_words: int = MIN_WORDS) -> DataFrame:

@@ -23,6 +23,26 @@ def n_words(text):
     return F.when(gaps == "", F.lit(0)).otherwise(F.size(F.split(gaps, f"{SPACES}+"))).cast("long")
 
 
+#: Bytes of a batch that a Python worker gets, and ids that are broadcast at most (about 16 MB).
+BATCH_BYTES, BROADCAST_IDS = 8 << 20, 500_000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after lowering the session's bytes in an Arrow batch to BATCH_BYTES: long texts come few at a time."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+    return df
+
+
+def without(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """Rows of df whose `column` is not among ids (one long column); rows with a null stay. The ids are broadcast if they are
+    counted to be few; more are met by a shuffle."""
+    ids = scratch(ids.select(F.col(ids.columns[0]).alias("__gone")).distinct(), "gone")
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids, F.col(column).cast("long") == F.col("__gone"), "left_anti")
+
+
 def slices(batch, column: str, most: int = 1 << 20) -> Iterator[tuple[int, int, bytes, list[int]]]:
     """Cut a batch into runs of rows with about `most` bytes of text: (first row, rows, bytes, offsets); null is empty.
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import scratch
+from lodestone.llm.common import scratch, without
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -58,7 +58,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     have no shingle. Rows that repeat an id count as one document or item that has the shingles of all of them. Other
     columns are not looked at."""
     own = benchmark.select(F.col(item_col).cast("long").alias("item_id"), words(F.col(item_text)).alias("words")).where("item_id is not null")
-    item_shingles = own.select("item_id", F.explode(shingles(F.col("words"), width)).alias("shingle")).distinct()
+    item_shingles = scratch(own.select("item_id", F.explode(shingles(F.col("words"), width)).alias("shingle")).distinct(), "items")
     item_sizes = item_shingles.groupBy("item_id").agg(F.count("*").alias("n"))
     sized = own.join(item_sizes, "item_id")
     probe = scratch(sketches(sized, width, threshold).distinct(), "sketches")
@@ -78,5 +78,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """docs without those that contain an item; rows with a null id or text stay."""
-    bad = contaminated(docs, benchmark, id_col, **options).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col(id_col).cast("long") == F.col("_bad"), "left_anti")
+    return without(docs, id_col, contaminated(docs, benchmark, id_col, **options).select("doc_id"))

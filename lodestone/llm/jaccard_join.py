@@ -27,14 +27,12 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import scratch, slices
+from lodestone.llm.common import BROADCAST_IDS, scratch, slices, small_batches, without
 from lodestone.llm.components import connected_components
 
 SKETCH_BITS = 17
 #: Members in a block of a bundle.
 BLOCK = 512
-#: So many ids are broadcast to fetch their texts (about 16 MB); more are joined by a shuffle.
-BROADCAST_IDS = 500_000
 
 
 class Trie:
@@ -322,7 +320,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     smaller id. No rows give no rows."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    seen = scratch(rows.mapInArrow(_scan(width, sketch_bits), _SCAN), "sets")
+    seen = scratch(small_batches(rows).mapInArrow(_scan(width, sketch_bits), _SCAN), "sets")
     sized = seen.where("bucket is null").select("id", "n", "d1", "d2", "sig")
     if not sized.where("id is not null").groupBy("id").count().where("count > 1").isEmpty():
         return _with_repeats(docs, id_col, text_col, width, percent, block, sketch_bits)
@@ -427,6 +425,4 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """docs without near copies: of each component the rows of the smallest id stay (all of them, if that id is repeated).
     Rows without an id or without words stay."""
     found = jaccard_components(docs, id_col, text_col, width, percent)
-    gone = found.where("id is not null and component_id != id").select(F.col("id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
-    return kept
+    return without(docs, id_col, found.where("id is not null and component_id != id").select("id"))

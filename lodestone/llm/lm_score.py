@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import scratch, slices
+from lodestone.llm.common import scratch, slices, small_batches
 
 WORD_SHARE, PAIR_SHARE = 1e-5, 1e-6
 #: Pseudo-counts of the word frequencies in a pair's probability.
@@ -170,11 +170,11 @@ def train(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
     both = rows.select("text", F.lit(0).alias("target")).unionByName(chosen.select("text", F.lit(1).alias("target")))
     sums = lambda df: df.groupBy("h").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
 
-    words = scratch(sums(both.mapInArrow(_counts(), "h long, n int, t int")), "words")
+    words = scratch(sums(small_batches(both).mapInArrow(_counts(), "h long, n int, t int")), "words")
     totals = [float(x or 0) for x in words.agg(F.sum("n"), F.sum("t")).first()]
     vocab, *seen = _columns(words.where(F.col("n") >= max(2.0, totals[0] * word_share)))  # 1 / word_share rows at most
     shared = spark.sparkContext.broadcast(vocab)
-    pairs = sums(both.mapInArrow(_counts(shared), "h long, n int, t int"))
+    pairs = sums(small_batches(both).mapInArrow(_counts(shared), "h long, n int, t int"))
     pairs = _columns(pairs.where(F.col("n") >= max(2.0, totals[0] * pair_share)))  # 1 / pair_share rows at most
     shared.unpersist()
     return _model(vocab, seen, pairs, totals, smoothing)
@@ -187,7 +187,7 @@ def scored(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(_score(shared), f"doc_id {id_type}, n_words long, target_loss double, background_loss double, score double")
+    return small_batches(rows).mapInArrow(_score(shared), f"doc_id {id_type}, n_words long, target_loss double, background_loss double, score double")
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -18,7 +18,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import slices
+from lodestone.llm.common import slices, small_batches
 
 # Fixed values of the MPEG audio standard: kbit/s by bitrate index, for version 1 layers I, II, III, then versions 2 and 2.5 layer I, layers II and III.
 BITRATES = {
@@ -271,7 +271,7 @@ def _encode(batches):
 def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, media: each whole text as UTF-8 with padding in a media column. A null text is empty; ids are not looked at."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_encode, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
+    return small_batches(rows).mapInArrow(_encode, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
 _FOUND = "valid boolean, frames long, samples long, rate int, duration_num long, duration_den long, table string, table_agrees boolean, crc_good long, crc_bad long, skipped long, tags map<string,string>, seek array<long>, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -314,4 +314,4 @@ def analysed(media: DataFrame, id_col: str = "doc_id", media_col: str = "media")
     """What the frames of each stored stream say, see parse(); seek has the byte offset of each audio frame, and the duration is exact as
     duration_num / duration_den seconds. A null or empty stream, or one without frames, has no frames, duration 0 / 1 and valid = false."""
     rows = media.select(F.col(id_col).alias("doc_id"), F.col(media_col).alias("media"))
-    return rows.mapInArrow(_analyse, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {_FOUND}")
+    return small_batches(rows).mapInArrow(_analyse, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {_FOUND}")

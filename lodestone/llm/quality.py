@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import scratch, slices
+from lodestone.llm.common import scratch, slices, small_batches
 
 #: Statistics by name, in order.
 NAMES = ("words", "bytes a word", "distinct words", "repeats of the word before", "upper case", "digits", "stops", "symbols", "bars", "shouts", "lines", "words without letters", "long words", "other bytes", "commonest word")
@@ -82,7 +82,7 @@ def _features(batches):
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, x: the statistics of every whole text; a null text is empty."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_features, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, x array<double>")
+    return small_batches(rows).mapInArrow(_features, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, x array<double>")
 
 
 def _moments(batches):
@@ -132,7 +132,7 @@ def fitted(measures: DataFrame, labels: DataFrame, shrinkage: float = SHRINKAGE,
 
     d = len(NAMES) + 1
     rows = labels.where("doc_id is not null and label in (0, 1)").join(measures, "doc_id").select(F.col("label").cast("long").alias("label"), "x")
-    sums = rows.mapInArrow(_moments, "c long, i long, j long, v double").groupBy("c", "i", "j").agg(F.sum("v").alias("v"))
+    sums = small_batches(rows).mapInArrow(_moments, "c long, i long, j long, v double").groupBy("c", "i", "j").agg(F.sum("v").alias("v"))
     total = {0: np.zeros((d, d)), 1: np.zeros((d, d))}
     for c, i, j, v in sums.collect():  # 2 * d * d rows
         total[c][i, j] = v
@@ -188,4 +188,4 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text", keep: float
             if good:
                 yield batch.filter(pa.array(np.concatenate(good)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
