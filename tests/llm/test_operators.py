@@ -113,9 +113,11 @@ def test_decontaminate(spark, docs, none):
             if i is not None and a and len(a & b) >= 0.8 * len(a) - 1e-9:
                 want.add((d, i, len(a), len(a & b)))
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for bound in (200_000, 0):
-        got = contaminated(docs.withColumn("item_id", F.lit("x")), bench, broadcast_rows=bound).collect()
-        assert {(r.doc_id, r.item_id, r.n_shingles, r.n_found) for r in got} == want and len(got) == len(want)
+    got = contaminated(docs.withColumn("item_id", F.lit("x")), bench).collect()
+    assert {(r.doc_id, r.item_id, r.n_shingles, r.n_found) for r in got} == want and len(got) == len(want)
+    few = docs.where("doc_id between 13 and 20")
+    shuffled = contaminated(few, bench.where("item_id in (0, 2, 6)"), broadcast_rows=0).collect()
+    assert {(r.doc_id, r.item_id, r.n_shingles, r.n_found) for r in shuffled} == {x for x in want if 13 <= x[0] <= 20 and x[1] in (0, 2, 6)}
     assert {i for _, i, *_ in want} == {0, 1, 2, 6}
     assert {r.doc_id for r in clean(docs, bench).collect()} == {r[0] for r in rows} - {d for d, *_ in want}
     assert contaminated(none, bench).collect() == [] and contaminated(docs, bench.limit(0)).collect() == []
