@@ -6,14 +6,15 @@ pairs (at least `pair_share` of all pairs of known words), same smoothing. The b
 the target over all target documents; counts are combined in each task, then by a shuffle that grows with the corpus.
 
 A share of at least s can be had by 1 / s words or pairs at most, whatever the corpus, so what is broadcast is bounded:
-1 / word_share hashes and 1 / pair_share pairs with their losses (about 30 MB). Scoring then needs no shuffle."""
+1 / word_share hashes and 1 / pair_share pairs with their losses (about 30 MB). Scoring then needs no shuffle. The ids of target
+documents are broadcast if they are counted to be few, else met by a shuffle."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import scratch, slices, small_batches
+from lodestone.llm.common import BROADCAST_IDS, scratch, slices, small_batches
 
 WORD_SHARE, PAIR_SHARE = 1e-5, 1e-6
 #: Pseudo-counts of the word frequencies in a pair's probability.
@@ -165,8 +166,11 @@ def train(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
     A null id is never in the target; repeated target ids count once, repeated documents each time."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    ids = target.select(F.col(id_col).alias("doc_id")).where("doc_id is not null").distinct()
-    chosen = scratch(rows.join(ids, "doc_id", "left_semi").select("text"), "target")
+    ids = scratch(target.select(F.col(id_col).alias("doc_id")).where("doc_id is not null").distinct(), "ids")
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        chosen = rows.join(F.broadcast(ids), "doc_id", "left_semi")
+    else:  # texts are shuffled once, and those of the target kept for both counts
+        chosen = scratch(rows.join(ids, "doc_id", "left_semi"), "target")
     both = rows.select("text", F.lit(0).alias("target")).unionByName(chosen.select("text", F.lit(1).alias("target")))
     sums = lambda df: df.groupBy("h").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
 
