@@ -7,9 +7,10 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators import graph
 from lodestone.sources.scratch import scratch
 
 DAMPING, ROUNDS = 0.85, 100
@@ -53,7 +54,7 @@ def betweenness(nodes: DataFrame, edges: DataFrame, exact: int = 250, samples: i
     ids = nodes.select("id").orderBy("id")
     if n > exact:
         chosen = random.Random(seed).sample(range(n), samples)
-        ids = ids.withColumn("k", F.row_number().over(Window.orderBy("id")) - 1).where(F.col("k").isin(chosen)).select("id")
+        ids = graph.placed(nodes.select("id"), F.col("id")).where(F.col("place").isin(chosen)).select("id")
 
     def brandes(batches):
         import heapq

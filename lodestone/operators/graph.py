@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.sources.scratch import scratch
+
 #: Names that count as entry points, tried on a full name and its last segment.
 ENTRY_POINTS = "^(main$|app$|cli$|__main__$|test_|conftest$|(get|post|put|delete|patch)(_|[A-Z]|$)|handle(_|[A-Z]|$)|on_|setup$|teardown$|index$|route_)"
 #: Stems of files that nothing needs to import.
@@ -22,12 +24,27 @@ def top(df: DataFrame, n: int, *order: Column, rank: str = "rank") -> DataFrame:
     return few.withColumn(rank, F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
+def placed(df: DataFrame, *order: Column, place: str = "place") -> DataFrame:
+    """df with its rows' places (from 0) in an order: sorted by ranges, numbered within each range, and moved by the sizes of those before.
+
+    A window over everything would sort it in one task; here the only table that is broadcast has a row for each range."""
+    ranges = scratch(df.orderBy(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    sizes = ranges.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = sizes.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    within = ranges.withColumn("__at", F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1)
+    return within.join(F.broadcast(before), "__range").withColumn(place, F.col("__at") + F.col("__before")).drop("__range", "__at", "__before")
+
+
 def accumulate(calls: DataFrame, keep: int = 20) -> DataFrame:
     """One edge for each (src, dst, type) of observed calls (src, dst, type, resolution, line, seq): how often, `exact` only if all are, and
     the first `keep` distinct lines in order of arrival."""
     lines = calls.groupBy("src", "dst", "type", "line").agg(F.min("seq").alias("seq"), F.count("*").alias("n"), F.min(F.when(F.col("resolution") == "exact", 1).otherwise(0)).alias("exact"))
-    edges = lines.groupBy("src", "dst", "type").agg(F.sum("n").alias("count"), F.min("exact").alias("exact"), F.slice(F.array_sort(F.collect_list(F.struct("seq", "line"))), 1, keep).alias("lines"))
-    return edges.select("src", "dst", "type", "count", F.when(F.col("exact") == 1, "exact").otherwise("inferred").alias("resolution"), F.transform("lines", lambda x: x["line"]).alias("source_lines"))
+    key = ["src", "dst", "type"]
+    total = lines.groupBy(*key).agg(F.sum("n").alias("count"), F.min("exact").alias("exact"))
+    first = lines.withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy("seq", "line"))).where(F.col("r") <= keep)
+    first = first.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("seq", "line"))).alias("lines"))  # `keep` at most
+    label = F.when(F.col("exact") == 1, "exact").otherwise("inferred")
+    return total.join(first, key).select(*key, "count", label.alias("resolution"), F.transform("lines", lambda x: x["line"]).alias("source_lines"))
 
 
 def known_callers(calls: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators import graph
+
 SEVERITIES = ("high", "medium", "low")
 ORDER = ("circular_dependency", "dead_code", "god_class", "bottleneck", "orphan_file", "high_coupling")
 #: The layer that a directory's name stands for.
@@ -23,9 +25,9 @@ LAYERS = {
 def bands(df: DataFrame, key: str, *order: Column) -> DataFrame:
     """key, band by place: the first fifth is hot, up to half warm, up to four fifths mild, the rest cold."""
     n = df.agg(F.count("*").alias("n"))
-    placed = df.withColumn("r", F.row_number().over(Window.orderBy(*order)) - 1).join(F.broadcast(n))
-    part = F.col("r") / F.col("n")
-    return placed.select(key, F.when(part < 0.2, "hot").when(part < 0.5, "warm").when(part < 0.8, "mild").otherwise("cold").alias("band"))
+    places = graph.placed(df, *order).join(F.broadcast(n))
+    part = F.col("place") / F.col("n")
+    return places.select(key, F.when(part < 0.2, "hot").when(part < 0.5, "warm").when(part < 0.8, "mild").otherwise("cold").alias("band"))
 
 
 def dead_by_file(dead: DataFrame) -> DataFrame:
