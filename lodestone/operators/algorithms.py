@@ -50,7 +50,7 @@ def betweenness(nodes: DataFrame, edges: DataFrame, exact: int = 250, samples: i
     near: dict = {}
     for r in edges.select("src", "dst", "distance").orderBy("src", "dst").toLocalIterator():
         near.setdefault(r[0], []).append((r[1], r[2]))
-    graph = edges.sparkSession.sparkContext.broadcast(near)
+    shared = edges.sparkSession.sparkContext.broadcast(near)
     ids = nodes.select("id").orderBy("id")
     if n > exact:
         chosen = random.Random(seed).sample(range(n), samples)
@@ -72,7 +72,7 @@ def betweenness(nodes: DataFrame, edges: DataFrame, exact: int = 250, samples: i
                         continue
                     dist[v] = d
                     order.append(v)
-                    for w, length in graph.value.get(v, ()):
+                    for w, length in shared.value.get(v, ()):
                         e = d + length
                         if w not in dist and (w not in seen or e < seen[w]):
                             seen[w] = e
