@@ -1,13 +1,17 @@
 """Documents scored by cross-entropy difference: loss per word under a target model less that under a background model.
 
-Both are bigram models, smoothed towards their own word frequencies, over one shared vocabulary: the words that make up at
-least `word_share` of the corpus, all others being one unknown word. They are matched: same vocabulary, same word
-pairs (at least `pair_share` of all pairs of known words), same smoothing. The background is counted over all documents and
-the target over all target documents; counts are combined in each task, then by a shuffle that grows with the corpus.
-
-A share of at least s can be had by 1 / s words or pairs at most, whatever the corpus, so what is broadcast is bounded:
-1 / word_share hashes and 1 / pair_share pairs with their losses (about 30 MB). Scoring then needs no shuffle. The ids of target
-documents are broadcast if they are counted to be few, else met by a shuffle."""
+Both are bigram models, smoothed towards their own word frequencies, over one shared vocabulary: all words that occur at
+least MIN_COUNT times in the corpus, whatever its size, all others being one unknown word. They are matched: same vocabulary, same
+word pairs (all that occur MIN_COUNT times), same smoothing. The background is counted over all documents and the target over all
+target documents; counts are combined in each task, then by a shuffle that grows with the corpus.
+
+A text's loss is the sum over its words of the word's own loss and of the fall-back after the one before it, corrected
+for known pairs by -log(1 + count / (smoothing * p(word))). So each term needs one entry of the model. Entries of frequent words and
+pairs (shares of `word_share` and `pair_share` or more, so 1 / word_share and 1 / pair_share of them at most) are broadcast
+and summed where the text is read; all others stay a table that a text's remaining words and pairs, counted per
+text, meet by a shuffle. The shares only say which way an entry takes: results don't depend on them, and no key of the shuffle
+is frequent. If the broadcast holds all entries, nothing is shuffled. The ids of target documents are broadcast if they
+are counted to be few, else met by a shuffle."""
 
 from __future__ import annotations
 
@@ -16,24 +20,48 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import BROADCAST_IDS, scratch, slices, small_batches
 
+#: Occurrences in the corpus from which words and pairs are in the models.
+MIN_COUNT = 2
+#: Shares of the corpus from which entries of the models are broadcast.
 WORD_SHARE, PAIR_SHARE = 1e-5, 1e-6
+#: Stands before the first word of a text; a word alone is counted as a pair with 0.
+BEGIN, ALONE = 0x1B873593CC9E2D51, 0
 #: Pseudo-counts of the word frequencies in a pair's probability.
 SMOOTHING = 100.0
 
 
+def _key(before, word):
+    """One number for a pair of word hashes; of a word alone, its hash."""
+    import numpy as np
+
+    return (before << np.uint64(1) | before >> np.uint64(63)) ^ word
+
+
+def _before(words, begin):
+    """The hash before each word."""
+    import numpy as np
+
+    out = np.empty_like(words)
+    out[1:] = words[:-1]
+    out[begin[:-1][np.diff(begin) > 0]] = BEGIN
+    return out
+
+
 def _summed(parts: list) -> list:
+    """Rows (key, before, word, counts) with one row for each key."""
     import numpy as np
 
     keys = np.concatenate([p[0] for p in parts])
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return [keys[first], *(np.add.reduceat(np.concatenate([p[k] for p in parts])[order], first) for k in (1, 2))]
+    column = lambda k: np.concatenate([p[k] for p in parts])[order]
+    return [keys[first], column(1)[first], column(2)[first], *(np.add.reduceat(column(k), first) for k in (3, 4))]
 
 
-def _counts(vocabulary=None):
-    """Of each task: key, its count in background rows (n) and in target rows (t). Keys are word hashes, or with a
-    vocabulary pairs of indexes into it (0: the beginning of a text)."""
+def _counts():
+    """Of each task: words alone and pairs, with their counts in all rows (n) and in target rows (t). What is held is bounded;
+    a key may come more than once."""
 
     def run(batches):
         import numpy as np
@@ -41,6 +69,12 @@ def _counts(vocabulary=None):
 
         from lodestone.llm import shingles
 
+        def rows(held):
+            _, a, h, n, t = held
+            for lo in range(0, len(a), 100_000):
+                cut = slice(lo, lo + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(a[cut].view(np.int64)), pa.array(h[cut].view(np.int64)), pa.array(n[cut].astype(np.int32)), pa.array(t[cut].astype(np.int32))], names=["a", "h", "n", "t"])
+
         parts, held = [], 0
         for batch in batches:
             target = np.asarray(batch.column(batch.schema.get_field_index("target")).to_numpy(zero_copy_only=False), dtype=np.int64)
@@ -49,23 +83,18 @@ def _counts(vocabulary=None):
                 if not len(words):
                     continue
                 t = np.repeat(target[at : at + n], np.diff(begin))
-                if vocabulary is None:
-                    keys = words
-                else:
-                    keys, known = _pairs(words, begin, vocabulary.value)
-                    keys, t = keys[known], t[known]
-                if len(keys):
-                    parts.append([keys, 1 - t, t])
-                    held += len(keys)
-                if held > 1 << 21:
+                before = _before(words, begin)
+                for a in (np.full_like(words, ALONE), before):
+                    parts.append(_summed([[_key(a, words), a, words, np.ones_like(t), t]]))
+                    held += len(parts[-1][0])
+                if held > 1 << 20:
                     parts = [_summed(parts)]
                     held = len(parts[0][0])
-                    held = held if held < 1 << 20 else 0  # a large table is not sorted again for each text
+                    if held > 1 << 19:
+                        yield from rows(parts[0])
+                        parts, held = [], 0
         if parts:
-            k, n, t = _summed(parts)
-            for lo in range(0, len(k), 100_000):
-                hi = lo + 100_000
-                yield pa.RecordBatch.from_arrays([pa.array(k[lo:hi].view(np.int64)), pa.array(n[lo:hi].astype(np.int32)), pa.array(t[lo:hi].astype(np.int32))], names=["h", "n", "t"])
+            yield from rows(_summed(parts))
 
     return run
 
@@ -84,33 +113,35 @@ def _index(words, vocab):
 
 
 def _pairs(words, begin, vocab):
-    """A key for each word and the one before it, and whether both are known (or the beginning)."""
+    """A key for each word and the one before it, as indexes (0: the beginning of a text)."""
     import numpy as np
 
     i = _index(words, vocab)
     before = np.empty_like(i)
     before[1:] = i[:-1]
     before[begin[:-1][np.diff(begin) > 0]] = 0
-    unknown = np.uint64(len(vocab) + 1)
-    return (before << np.uint64(32)) | i, (i != unknown) & (before != unknown)
+    return (before << np.uint64(32)) | i
+
 
+def _model(vocab, words, start, pairs, totals, smoothing):
+    """Losses in nats as arrays: of words (by index), of falling back after a word (by index), and of pairs (by sorted key).
 
-def _model(vocab, words, pairs, totals, smoothing):
-    """Losses in nats as arrays: of words (by index), of falling back after a word (by index), and of pairs (by sorted key)."""
+    words, start: counts of the words of vocab, and how often a known pair begins with them and with the beginning; totals: see train()."""
     import numpy as np
 
     size = len(vocab) + 2
     out = {"vocab": vocab}
-    key, *counted = pairs
-    before, word = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    out["key"] = key
-    for name, n, pair, total in zip("bt", words, counted, totals, strict=True):
-        count = np.full(size, 0.5)  # words that only the other model has seen
-        count[1:-1] += n
-        count[-1] += total - n.sum()
-        count[0] = 0
-        p = count / count.sum()
-        follow = np.bincount(before, weights=pair, minlength=size)
+    a, h, *counted = pairs
+    before, word = np.where(a == BEGIN, np.uint64(0), _index(a, vocab)), _index(h, vocab)
+    key = (before << np.uint64(32)) | word
+    order = np.argsort(key)
+    out["key"], before, word = key[order], before[order].astype(np.int64), word[order].astype(np.int64)
+    for k, name in enumerate("bt"):
+        p = np.zeros(size)  # half an occurrence is added: words that only the other model has seen
+        p[1:-1] = (words[k] + 0.5) / totals["mass_" + name]
+        p[-1] = totals["unknown_" + name] / totals["mass_" + name]
+        follow = np.concatenate([[start[k]], words[k + 2], [0.0]])
+        pair = counted[k][order]
         with np.errstate(divide="ignore"):
             out["word_" + name] = -np.log(p).astype(np.float64)
         out["back_" + name] = -np.log(smoothing / (follow + smoothing))
@@ -119,7 +150,10 @@ def _model(vocab, words, pairs, totals, smoothing):
     return out
 
 
-def _score(model):
+def _score(model, rest: bool):
+    """Rows with the sums of a text's broadcast entries; if there are others (rest), rows of a text's remaining words and pairs too:
+    row, key, c (occurrences), m (occurrences before another word), base (the sums; null in these rows)."""
+
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -127,12 +161,13 @@ def _score(model):
         from lodestone.llm import shingles
 
         m = model.value
+        unknown = np.uint64(len(m["vocab"]) + 1)
         for batch in batches:
             for at, n, data, ends in slices(batch, "text"):
                 words, begin = shingles.word_hashes(data, ends)
                 size, sums = np.diff(begin), {}
                 if len(words):
-                    key, _ = _pairs(words, begin, m["vocab"])
+                    key = _pairs(words, begin, m["vocab"])
                     before, word = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
                     place = np.searchsorted(m["key"], key)
                     place[place == len(m["key"])] = 0
@@ -142,56 +177,124 @@ def _score(model):
                     if len(words):
                         loss = m["word_" + k][word] + m["back_" + k][before]
                         loss[hit] = m["pair_" + k][place[hit]]
-                        sums[k] = np.bincount(doc, weights=loss, minlength=n) / np.maximum(size, 1)
+                        sums[k] = np.bincount(doc, weights=loss, minlength=n)
                     else:
                         sums[k] = np.zeros(n)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(size.astype(np.int64)), pa.array(sums["t"]), pa.array(sums["b"]), pa.array(sums["t"] - sums["b"])], names=["doc_id", "n_words", "target_loss", "background_loss", "score"])
+                base = [batch.column(0).slice(at, n), pa.array(size.astype(np.int64)), pa.array(sums["t"]), pa.array(sums["b"])]
+                if not rest:
+                    yield pa.RecordBatch.from_arrays(base, names=["doc_id", "n_words", "t", "b"])
+                    continue
+                row = np.asarray(batch.column(2).slice(at, n))
+                none = np.zeros(n, dtype=np.int32)
+                base = pa.StructArray.from_arrays(base, names=["doc_id", "n_words", "t", "b"])
+                names = ["row", "key", "c", "m", "base"]
+                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(row), pa.array(none), pa.array(none), base], names=names)
+                if not len(words):
+                    continue
+                alone, paired = word == int(unknown), ~hit
+                inner = np.ones(len(words), dtype=np.int32)
+                inner[begin[1:][size > 0] - 1] = 0
+                f = np.concatenate([words[alone], _key(_before(words, begin), words)[paired]])
+                d = np.concatenate([doc[alone], doc[paired]])
+                if not len(f):
+                    continue
+                count = np.concatenate([inner[alone], np.zeros(int(paired.sum()), dtype=np.int32)])
+                order = np.lexsort((f, d))
+                f, d = f[order], d[order]
+                first = np.flatnonzero(np.concatenate([[True], (f[1:] != f[:-1]) | (d[1:] != d[:-1])]))
+                c, before_ = np.diff(np.append(first, len(f))).astype(np.int32), np.add.reduceat(count[order], first).astype(np.int32)
+                f, d = f[first].view(np.int64), row[d[first]]
+                for lo in range(0, len(f), 50_000):
+                    cut = slice(lo, lo + 50_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(d[cut]), pa.array(f[cut]), pa.array(c[cut]), pa.array(before_[cut]), pa.nulls(len(f[cut]), base.type)], names=names)
 
     return run
 
 
-def _columns(df: DataFrame):
-    """A bounded table h, n, t as arrays sorted by h as an unsigned number."""
+def _arrays(df: DataFrame, keys: int):
+    """A bounded table as arrays: its first columns as unsigned numbers, the others as floats."""
     import numpy as np
 
     data = df.toArrow()
-    h = data["h"].to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(h)
-    return h[order], data["n"].to_numpy()[order].astype(np.float64), data["t"].to_numpy()[order].astype(np.float64)
+    return [data[k].to_numpy().astype(np.int64).view(np.uint64) if k < keys else data[k].to_numpy().astype(np.float64) for k in range(data.num_columns)]
 
 
 def train(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE, smoothing: float = SMOOTHING) -> dict:
-    """The two models as arrays. docs: the background; target: the ids (in a column named as id_col) of the target documents.
+    """The two models: entries of frequent words and pairs as arrays, and `rest`, a table of the others (None if there are none).
+    docs: the background; target: the ids (in a column named as id_col) of the target documents.
 
     A null id is never in the target; repeated target ids count once, repeated documents each time."""
-    spark = docs.sparkSession
+    import numpy as np
+
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     ids = scratch(target.select(F.col(id_col).alias("doc_id")).where("doc_id is not null").distinct(), "ids")
-    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        chosen = rows.join(F.broadcast(ids), "doc_id", "left_semi")
-    else:  # texts are shuffled once, and those of the target kept for both counts
-        chosen = scratch(rows.join(ids, "doc_id", "left_semi"), "target")
-    both = rows.select("text", F.lit(0).alias("target")).unionByName(chosen.select("text", F.lit(1).alias("target")))
-    sums = lambda df: df.groupBy("h").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-
-    words = scratch(sums(small_batches(both).mapInArrow(_counts(), "h long, n int, t int")), "words")
-    totals = [float(x or 0) for x in words.agg(F.sum("n"), F.sum("t")).first()]
-    vocab, *seen = _columns(words.where(F.col("n") >= max(2.0, totals[0] * word_share)))  # 1 / word_share rows at most
-    shared = spark.sparkContext.broadcast(vocab)
-    pairs = sums(small_batches(both).mapInArrow(_counts(shared), "h long, n int, t int"))
-    pairs = _columns(pairs.where(F.col("n") >= max(2.0, totals[0] * pair_share)))  # 1 / pair_share rows at most
-    shared.unpersist()
-    return _model(vocab, seen, pairs, totals, smoothing)
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS  # else texts are shuffled once
+    marks = ids.withColumn("target", F.lit(1))
+    both = rows.join(F.broadcast(marks) if few else marks, "doc_id", "left").select("text", F.coalesce("target", F.lit(0)).alias("target"))
+    counts = small_batches(both).mapInArrow(_counts(), "a long, h long, n int, t int").groupBy("a", "h").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    counts = scratch(counts.where((F.col("a") == ALONE) | (F.col("n") >= MIN_COUNT)), "counts")
+
+    known, often = F.col("n") >= MIN_COUNT, lambda share: F.col("n") >= max(float(MIN_COUNT), (n or 0) * share)
+    alone, pairs = counts.where(F.col("a") == ALONE), counts.where(F.col("a") != ALONE)
+    one = lambda c: F.sum(F.when(known, F.col(c)).otherwise(0))
+    n, t, known_n, known_t, size = alone.agg(F.sum("n"), F.sum("t"), one("n"), one("t"), F.count(F.when(known, 1))).first()
+    totals = {}
+    for name, all_, of_known in (("b", n, known_n), ("t", t, known_t)):
+        totals["mass_" + name] = float(all_ or 0) + 0.5 * (size + 1)
+        totals["unknown_" + name] = float((all_ or 0) - (of_known or 0)) + 0.5
+    follow = pairs.groupBy(F.col("a").alias("h")).agg(F.sum("n").alias("fn"), F.sum("t").alias("ft"))
+    follow = scratch(follow, "follow")
+    start = follow.where(F.col("h") == BEGIN).first()
+    words = alone.where(known).select("h", "n", "t")
+    held = words.where(often(word_share)).join(follow, "h", "left").select("h", "n", "t", F.coalesce("fn", F.lit(0)), F.coalesce("ft", F.lit(0)))
+    vocab, *seen = _arrays(held, 1)  # 1 / word_share rows at most
+    order = np.argsort(vocab)
+    vocab, seen = vocab[order], [x[order] for x in seen]
+    hot = _arrays(pairs.where(often(pair_share)).select("a", "h", "n", "t"), 2)  # 1 / pair_share rows at most
+    last = np.uint64(len(vocab) + 1)
+    both_held = (_index(hot[1], vocab) != last) & ((hot[0] == BEGIN) | (_index(hot[0], vocab) != last))
+    model = _model(vocab, seen, (start.fn, start.ft) if start else (0.0, 0.0), [x[both_held] for x in hot], totals, smoothing)
+    complete = len(vocab) == size and int(both_held.sum()) == pairs.count()
+    model["rest"] = None if complete else _rest(words, pairs, follow, often(word_share), totals, smoothing)
+    return model
+
+
+def _rest(words: DataFrame, pairs: DataFrame, follow: DataFrame, often, totals: dict, smoothing: float) -> DataFrame:
+    """key, xb, xt, yb, yt: what an occurrence adds to the sums of the broadcast entries (x), and what one before another word does (y). Entries that
+    are broadcast too are never asked for. Frequent words are broadcast, so that no word has many of the pairs that are dealt by it."""
+    none = F.lit(0.0)
+    p = lambda c, k: (F.col(c) + 0.5) / totals["mass_" + k]
+    more = words.where(~often).join(follow, "h", "left")
+    x = [-F.log(p(c, k) / (totals["unknown_" + k] / totals["mass_" + k])) for c, k in (("n", "b"), ("t", "t"))]
+    y = [F.log1p(F.coalesce(c, F.lit(0)) / smoothing) for c in ("fn", "ft")]
+    more = more.select(F.col("h").alias("key"), x[0].alias("xb"), x[1].alias("xt"), y[0].alias("yb"), y[1].alias("yt"))
+    few = words.where(often).select("h", F.col("n").alias("wn"), F.col("t").alias("wt"))
+    near = pairs.join(F.broadcast(few), "h", "left")
+    far = near.where("wn is null").drop("wn", "wt").join(words.where(~often).select("h", F.col("n").alias("wn"), F.col("t").alias("wt")), "h")
+    pair = near.where("wn is not null").unionByName(far)
+    key = F.shiftleft("a", 1).bitwiseOR(F.shiftrightunsigned("a", 63)).bitwiseXOR(F.col("h"))
+    x = [-F.log1p(F.col(c) / (smoothing * p(w, k))) for c, w, k in (("n", "wn", "b"), ("t", "wt", "t"))]
+    return more.unionByName(pair.select(key.alias("key"), x[0].alias("xb"), x[1].alias("xt"), none.alias("yb"), none.alias("yt")))
 
 
 def scored(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, target_loss, background_loss (nats a word), score (their difference: lower is nearer the target).
 
     A row for each row of docs. Null, empty and blank texts have no words, and losses and a score of 0."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    id_type = rows.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return small_batches(rows).mapInArrow(_score(shared), f"doc_id {id_type}, n_words long, target_loss double, background_loss double, score double")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+    base = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words long, t double, b double"
+    rest = model["rest"]
+    shared = docs.sparkSession.sparkContext.broadcast({k: v for k, v in model.items() if k != "rest"})
+    if rest is None:
+        sums = small_batches(rows).mapInArrow(_score(shared, False), base)
+    else:
+        asked = small_batches(rows).mapInArrow(_score(shared, True), f"row long, key long, c int, m int, base struct<{base.replace(' ', ':').replace(',:', ',')}>")
+        met = asked.join(rest.hint("shuffle_hash"), "key", "left").where("base is not null or xb is not null")
+        add = lambda k: F.coalesce(F.col("c") * F.col("x" + k) + F.col("m") * F.col("y" + k), F.lit(0.0))
+        sums = met.groupBy("row").agg(F.sum(add("t")).alias("dt"), F.sum(add("b")).alias("db"), F.first("base", ignorenulls=True).alias("base"))
+        sums = sums.select("base.doc_id", "base.n_words", (F.col("base.t") + F.col("dt")).alias("t"), (F.col("base.b") + F.col("db")).alias("b"))
+    mean = lambda k: F.col(k) / F.greatest(F.col("n_words"), F.lit(1))
+    return sums.select("doc_id", "n_words", mean("t").alias("target_loss"), mean("b").alias("background_loss"), (mean("t") - mean("b")).alias("score"))
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

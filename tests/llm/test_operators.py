@@ -305,6 +305,38 @@ def test_language_model_is_normalised(spark):
             assert p.sum() == pytest.approx(1)
 
 
+def test_language_model_keeps_rare_words(spark):
+    from collections import Counter
+    from math import log
+
+    from lodestone.llm.lm_score import cross_entropy_difference
+
+    rows = [(k, prose(k, 200, 50) + f" rare{k // 2} pair{k // 2} once{k}") for k in range(40)] + [(None, "rare1"), (7, "rare2 pair2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = spark.createDataFrame([(k,) for k in range(20)], "doc_id long")
+    texts = [(i, t.split()) for i, t in rows]
+    alone, pairs = ([Counter(), Counter()] for _ in range(2))
+    for i, w in texts:
+        for k in (0, 1)[: 1 + (i is not None and i < 20)]:
+            alone[k].update(w)
+            pairs[k].update(zip([None, *w], w, strict=False))
+    known, both = {w for w, n in alone[0].items() if n >= 2}, {p for p, n in pairs[0].items() if n >= 2}
+
+    def loss(k, w):
+        total = alone[k].total()
+        mass = total + 0.5 * (len(known) + 1)
+        p = lambda x: (alone[k][x] + 0.5 if x in known else total - sum(alone[k][y] for y in known) + 0.5) / mass
+        follow = Counter()
+        for q in both:
+            follow[q[0]] += pairs[k][q]
+        return sum(-log(((pairs[k][q] if q in both else 0) + 100 * p(q[1])) / (follow[q[0]] + 100)) for q in zip([None, *w], w, strict=False)) / len(w)
+
+    want = sorted((i or 0, round(loss(1, w), 6), round(loss(0, w), 6)) for i, w in texts)
+    for shares in ({}, {"word_share": 1e-3, "pair_share": 1e-3}, {"word_share": 2.0, "pair_share": 2.0}):  # of the entries that are broadcast: all, some, none
+        got = cross_entropy_difference(df, ids, **shares).collect()
+        assert sorted((r.doc_id or 0, round(r.target_loss, 6), round(r.background_loss, 6)) for r in got) == want
+
+
 def test_chat(spark):
     from lodestone.llm.chat import prefixes, rendered
 
