@@ -76,13 +76,20 @@ def _absolute(target: Column, url: Column) -> Column:
     )
 
 
+def _first_tag(html: Column, name: str, mark: str) -> Column:
+    """The first whole tag of that name that the pattern `mark` is found in; null if none. Each tag is read once,
+    whatever its length: one that never ends takes the rest of the page, and is none."""
+    tags = F.regexp_extract_all(html, F.lit(f"(?i)<{name}\\b[^>]*+(?:>|\\z)"), F.lit(0))
+    return F.get(F.filter(tags, lambda t: t.endswith(">") & t.rlike(mark)), F.lit(0))
+
+
 def declared(url: Column, html: Column) -> Column:
     """Targets that a page declares: canonical link, meta refresh."""
-    link = F.regexp_extract(html, "(?is)<link\\b[^>]{0,500}\\brel\\s{0,5}=\\s{0,5}[\"']?canonical\\b[^>]{0,2000}>", 0)
-    meta = F.regexp_extract(html, "(?is)<meta\\b[^>]{0,500}\\bhttp-equiv\\s{0,5}=\\s{0,5}[\"']?refresh\\b[^>]{0,2000}>", 0)
+    link = _first_tag(html, "link", "(?i)\\brel\\s*+=\\s*+[\"']?canonical\\b")
+    meta = _first_tag(html, "meta", "(?i)\\bhttp-equiv\\s*+=\\s*+[\"']?refresh\\b")
     targets = F.array(
-        F.regexp_extract(link, "(?i)\\bhref\\s{0,5}=\\s{0,5}[\"']?([^\"'\\s>]+)", 1),
-        F.regexp_extract(meta, "(?i)\\burl\\s{0,5}=\\s{0,5}[\"']?([^\"'\\s>]+)", 1),
+        F.regexp_extract(link, "(?i)\\bhref\\s*+=\\s*+[\"']?([^\"'\\s>]+)", 1),
+        F.regexp_extract(meta, "(?i)\\burl\\s*+=\\s*+[\"']?([^\"'\\s>]+)", 1),
     )
     return F.filter(F.transform(targets, lambda t: _absolute(t, url)), lambda t: t.isNotNull())
 

@@ -190,6 +190,20 @@ def test_redirects(spark):
     assert got[5].component == got[6].component and judged(df.limit(0)).collect() == []
 
 
+def test_redirects_in_long_tags(spark):
+    from lodestone.llm.redirects import judged
+
+    x, gap = "x" * 3000, " " * 40
+    pages = [
+        (0, "http://a.io/1", f'<link rel="stylesheet" href="/s.css"><LINK data-a="{x}" href="https://example.com/de/1" rel="canonical">'), (1, "http://a.io/2", f'<link rel{gap}={gap}canonical data-a="{x}" href{gap}={gap}"https://example.com/de/2">'),
+        (2, "http://a.io/3", f'<meta name="{x}" content="0; url=https://example.com/de/3" http-equiv="refresh">'), (3, "http://a.io/4", "<link " * 20000), (4, "http://a.io/5", f'<link\nhref="https://example.com/de/{x}"\nrel=canonical>'),
+        (5, "http://a.io/6", '<link rel="alternate" href="https://example.com/de/6">'),
+    ]
+    got = {r.page_id: (r.verdict, r.by) for r in judged(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    block, allow = ("block", "alias"), ("allow", "default")
+    assert got == {0: block, 1: block, 2: block, 3: allow, 4: block, 5: allow}
+
+
 def test_quality(spark, none):
     from lodestone.llm import quality
 
