@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 #: Kinds that are always reported if valid, in their order among spans with one start; then those that need a score.
 BASE = ("email", "ip", "card", "phone")
 EXTRA = ("iban", "ssn")
-#: Score of a valid span by kind, what a word nearby adds or takes, and the score that an extra kind needs.
+#: Score of a valid span by kind, what a word nearby (on either side, or an accepted span of an extra kind itself) adds, what one before it
+#: takes, the score that an extra kind needs, and how far nearby is.
 SCORE = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.5, "iban": 0.8, "ssn": 0.3}
 NEAR = {
     "email": "mail|contact|write to|@", "ip": "\\bip\\b|address|server|host", "card": "card|visa|master|amex|payment|credit|pay\\b",
@@ -87,13 +88,39 @@ def _checked(valid):
     return lambda x: valid(x["v"])
 
 
-def _span(text: Column, order: int, kind: str):
-    def span(x):
+def _words_near(text: Column, kind: str):
+    """Of a match: whether a word that speaks for its kind stands near on either side, and whether one against it stands before it."""
+
+    def near(x):
         before = F.lower(F.substring(text, F.greatest(x["s"] - REACH + 1, F.lit(1)), F.least(x["s"], F.lit(REACH))))
-        score = F.lit(SCORE[kind]) + F.when(before.rlike(NEAR[kind]), RAISE).otherwise(0.0) - F.when(before.rlike(AGAINST), LOWER).otherwise(0.0)
-        return F.struct(x["s"].alias("start"), F.lit(order).alias("ord"), x["e"].alias("end"), F.lit(kind).alias("kind"), F.round(score, 3).alias("score"))
+        after = F.lower(F.substring(text, x["e"] + 1, F.lit(REACH)))
+        return F.struct(x["s"].alias("s"), x["e"].alias("e"), (before.rlike(NEAR[kind]) | after.rlike(NEAR[kind])).alias("for"), before.rlike(AGAINST).alias("against"))
+
+    return near
+
+
+def _score(kind: str, speaks: Column, against: Column) -> Column:
+    return F.round(F.lit(SCORE[kind]) + F.when(speaks, RAISE).otherwise(0.0) - F.when(against, LOWER).otherwise(0.0), 3)
+
+
+def _beside(matches: Column, kind: str) -> Column:
+    """matches, spoken for by accepted ones of the same kind within reach too: once forwards and once backwards reaches all."""
+    none = F.array().cast("array<struct<s:int,e:int,for:boolean,against:boolean>>")
+
+    def run(items: Column, far: int, gap, edge: str) -> Column:
+        def step(acc, x):
+            speaks = x["for"] | (gap(acc["at"], x) < REACH)
+            at = F.when(_score(kind, speaks, x["against"]) >= NEEDED, x[edge]).otherwise(acc["at"])
+            return F.struct(at.alias("at"), F.concat(acc["out"], F.array(F.struct(x["s"].alias("s"), x["e"].alias("e"), speaks.alias("for"), x["against"].alias("against")))).alias("out"))
+
+        return F.aggregate(items, F.struct(F.lit(far).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    there = run(matches, -REACH, lambda at, x: x["s"] - at, "e")
+    return run(F.reverse(there), 1 << 30, lambda at, x: at - x["e"], "s")
+
 
-    return span
+def _span(order: int, kind: str):
+    return lambda x: F.struct(x["s"].alias("start"), F.lit(order).alias("ord"), x["e"].alias("end"), F.lit(kind).alias("kind"), _score(kind, x["for"], x["against"]).alias("score"))
 
 
 def spans(text: Column) -> Column:
@@ -101,8 +128,9 @@ def spans(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
     found = []
     for order, (kind, (may, searched, pattern, valid)) in enumerate(_kinds(text).items()):
-        good = F.filter(_places(searched, pattern), _checked(valid))
-        found.append(F.when(may, F.transform(good, _span(text, order, kind))).otherwise(F.array().cast(f"array<{_SPAN}>")))
+        good = F.transform(F.filter(_places(searched, pattern), _checked(valid)), _words_near(text, kind))
+        good = _beside(good, kind) if kind in EXTRA else good
+        found.append(F.when(may, F.transform(good, _span(order, kind))).otherwise(F.array().cast(f"array<{_SPAN}>")))
     extra = F.filter(F.concat(*found), lambda x: (x["ord"] < len(BASE)) | (x["score"] >= NEEDED))
     return F.array_sort(extra)
 

@@ -258,6 +258,20 @@ def test_pii(spark, none):
     assert pii.detected(none).collect() == [] and pii.redacted(none).collect() == []
 
 
+def test_pii_context_on_both_sides(spark):
+    from lodestone.llm import pii
+
+    numbers = [f"{k}23-45-6789" for k in range(1, 9)]
+    far = " and more" * 6
+    texts = {
+        "123-45-6789 (SSN)": 1, "SSN: " + ", ".join(numbers): 8, ", ".join(numbers) + " are all SSN": 8, "123-45-6789": 0, f"SSN 123-45-6789 {far} 223-45-6789": 1, f"323-45-6789, {far} 123-45-6789 {far} 223-45-6789 tax": 1,
+        ", ".join(numbers) + ", part no 123-45-6789 tax": 8,
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [s.kind for s in r.spans].count("ssn") for r in pii.detected(df).collect()}
+    assert got == dict(enumerate(texts.values()))
+
+
 def test_apportion(spark, docs, none):
     from lodestone.llm.apportion import mixed, sainte_lague, targets
 
