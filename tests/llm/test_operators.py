@@ -272,6 +272,24 @@ def test_pii_context_on_both_sides(spark):
     assert got == dict(enumerate(texts.values()))
 
 
+def test_pii_iban_before_words(spark):
+    from lodestone.llm import pii
+
+    def iban(country, rest):
+        value = "".join(str(int(c, 36)) for c in rest + country + "00")
+        whole = f"{country}{98 - int(value) % 97:02d}{rest}"
+        return " ".join(whole[k : k + 4] for k in range(0, len(whole), 4))
+
+    made = {c: iban(c, ("ABCD" + "1234567890" * 3)[: n - 4]) for n, of in pii.IBAN.items() for c in of.split()}
+    es, other = "ES91 2100 0418 4502 0005 1332", iban("ZZ", "12345678901234567890")
+    texts = [(f"{es} BIC CAIXESBB", [es]), (f"{es} {made['AT']} {made['BE']} OK", [es, made["AT"], made["BE"]]), (f"{es} {es}", [es, es]), (f"{other}, AB12 CDEF 1234 {es} A", [other, es]), (es.replace(" ", "") + "X", [])]
+    texts += [(f"{x} SWIFT {x.replace(' ', '')} {x} AB", [x, x.replace(" ", ""), x]) for x in made.values()]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(texts)], "doc_id long, text string")
+    for r in pii.detected(df).collect():
+        t, want = texts[r.doc_id]
+        assert [t[s.start : s.end] for s in r.spans if s.kind == "iban"] == want, t
+
+
 def test_apportion(spark, docs, none):
     from lodestone.llm.apportion import mixed, sainte_lague, targets
 
