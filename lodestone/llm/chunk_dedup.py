@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import slices, small_batches
+from lodestone.llm.common import BROADCAST_IDS, scratch, slices, small_batches
 
 MASK_BITS, LEAST, MOST, MIN_WORDS = 4, 8, 1024, 28
 _WINDOW = 16
@@ -79,7 +79,6 @@ def _chunks(mask_bits: int, least: int, most: int):
         import xxhash
 
         for batch in batches:
-            ids = batch.column(0)
             for at, n, data, ends in slices(batch, "text"):
                 if not data:
                     continue
@@ -91,31 +90,61 @@ def _chunks(mask_bits: int, least: int, most: int):
                 d = np.fromiter((digest(view[a:b]) for a, b in zip(start.tolist(), stop.tolist(), strict=True)), dtype=np.uint64, count=len(stop))
                 base = np.asarray(ends, dtype=np.int64)[text]
                 words = np.add.reduceat(_word_starts(data, ends), start)
-                yield pa.RecordBatch.from_arrays([ids.slice(at, n).take(pa.array(text)), pa.array((start - base).astype(np.int32)), pa.array((stop - start).astype(np.int32)), pa.array(words.astype(np.int32)), pa.array(d.view(np.int64))], names=["doc_id", "start", "size", "words", "digest"])
+                order = np.lexsort((d, text))
+                later = np.zeros(len(d), dtype=np.int8)
+                later[order[1:]] = (d[order[1:]] == d[order[:-1]]) & (text[order[1:]] == text[order[:-1]])
+                keys = [batch.column(k).slice(at, n).take(pa.array(text)) for k in (0, 2)]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(later), pa.array((start - base).astype(np.int32)), pa.array((stop - start).astype(np.int32)), pa.array(words.astype(np.int32)), pa.array(d.view(np.int64))], names=["doc_id", "sub", "later", "start", "size", "words", "digest"])
 
     return run
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask_bits: int = MASK_BITS, least: int = LEAST, most: int = MOST) -> DataFrame:
-    """doc_id, start, size, words (that begin in it), digest: the chunks of every whole text, in UTF-8 bytes. Null and empty texts have none."""
+    """doc_id, sub, later, start, size, words (that begin in it), digest: the chunks of every whole text, in UTF-8 bytes. Null and empty texts have none.
+
+    later is 1 if the chunk stands earlier in its text too. sub tells texts of one id apart: a hash of the text where rows
+    repeat the id, else 0."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return small_batches(rows).mapInArrow(_chunks(mask_bits, least, most), "doc_id long, start int, size int, words int, digest long")
+    again = scratch(rows.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "again")
+    n = again.limit(BROADCAST_IDS + 1).count()
+    if n:
+        marks = again.withColumn("again", F.lit(True))
+        rows = rows.join(F.broadcast(marks) if n <= BROADCAST_IDS else marks, "doc_id", "left")
+        rows = rows.select("doc_id", "text", F.when(F.col("again"), F.shiftrightunsigned(F.xxhash64("text"), 8)).otherwise(0).cast("long").alias("sub"))
+    else:
+        rows = rows.withColumn("sub", F.lit(0).cast("long"))
+    return small_batches(rows).mapInArrow(_chunks(mask_bits, least, most), "doc_id long, sub long, later byte, start int, size int, words int, digest long")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask_bits: int = MASK_BITS, least: int = LEAST, most: int = MOST, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, start, end, n_chunks, n_words, first_doc, keep: spans of UTF-8 bytes whose chunks stand in other documents too.
+    """doc_id, start, end, n_chunks, n_words, first_doc, keep: spans of UTF-8 bytes whose chunks stand in other places too, of the same text as well.
 
     first_doc is the smallest id that has the span's first chunk; keep marks spans all of whose chunks stand there first, which
-    a deduplication leaves. Repeats within one document only are not reported, nor are rows with a null id. Rows that
-    repeat an id count as one document. Ties do not arise: a span belongs to one document. No rows give no rows."""
+    a deduplication leaves. A chunk's first place is the first in the text of the smallest id (of rows that repeat an id, in an
+    order of their texts, then in one copy of a text). A later occurrence in the same text is a span apart, even if it adjoins
+    the first; such ones of fewer than min_words count as part of what is around them. Rows with a null id are not
+    reported. No rows give no rows."""
     each = chunks(docs, id_col, text_col, mask_bits, least, most).where("doc_id is not null")
-    shared = each.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
-    found = each.join(shared, "digest").select("doc_id", "start", "size", "words", "first_doc").distinct()
-    in_doc = Window.partitionBy("doc_id").orderBy("start", "size")
-    opens = F.when(F.col("start") == F.lag(F.col("start") + F.col("size")).over(in_doc), 0).otherwise(1)
-    spans = found.withColumn("opens", opens).withColumn("span", F.sum("opens").over(in_doc.rowsBetween(Window.unboundedPreceding, 0)))
-    out = spans.groupBy("doc_id", "span").agg(
+    place = F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 56).cast("decimal(17,0)") + F.col("sub").cast("decimal(17,0)")
+    shared = each.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    found = each.join(shared, "digest").select("doc_id", "sub", "later", "start", "size", "words", "first_doc", (place == F.col("first")).alias("here"))
+    found = found.groupBy(*found.columns).agg(F.count("*").cast("int").alias("copies"))  # of rows alike in id and text
+    found = found.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).withColumn("here", F.col("here") & (F.col("copy") == 1))
+    text = ["doc_id", "sub", "copy"]
+    in_text = Window.partitionBy(*text).orderBy("start")
+    so_far = in_text.rowsBetween(Window.unboundedPreceding, 0)
+    apart = F.coalesce(F.col("start") != F.lag(F.col("start") + F.col("size")).over(in_text), F.lit(True))
+
+    def run(df: DataFrame, name: str, flag: str) -> DataFrame:
+        """df with numbers of runs of adjoining chunks that are alike in a flag."""
+        opens = F.when(apart | (F.col(flag) != F.lag(flag).over(in_text)), 1).otherwise(0)
+        return df.withColumn("opens", opens).withColumn(name, F.sum("opens").over(so_far)).drop("opens")
+
+    found = run(found.withColumn("own", F.col("here") & (F.col("later") == 1)), "part", "own")
+    in_part = Window.partitionBy(*text).orderBy("part").rangeBetween(0, 0)
+    found = run(found.withColumn("own", F.col("own") & (F.sum("words").over(in_part) >= min_words)), "span", "own")
+    out = found.groupBy(*text, "span").agg(
         F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"), F.count("*").alias("n_chunks"), F.sum("words").alias("n_words"),
-        F.min_by("first_doc", "start").alias("first_doc"), F.min((F.col("first_doc") == F.col("doc_id")).cast("int")).cast("boolean").alias("keep"),
+        F.min_by("first_doc", "start").alias("first_doc"), F.min((F.col("here") & ~F.col("own")).cast("int")).cast("boolean").alias("keep"),
     )
     return out.where(F.col("n_words") >= min_words).select("doc_id", "start", "end", "n_chunks", "n_words", "first_doc", "keep")

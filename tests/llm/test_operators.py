@@ -420,3 +420,17 @@ def test_chunks(spark, docs, none):
     got = repeats(spark.createDataFrame(rows, "doc_id long, text string").withColumn("size", F.lit("x"))).collect()
     assert {r.doc_id for r in got} == {100, 101, 102, 200, 201} and {r.doc_id for r in got if r.keep} == {100, 200}
     assert repeats(none).collect() == []
+
+
+def test_chunks_repeated_in_one_document(spark):
+    from lodestone.llm.chunk_dedup import repeats
+
+    passage = prose(9, 60)
+    apart = " ".join([prose(700, 50), passage, prose(701, 50), passage, prose(702, 50), passage])
+    rows = [(1, apart), (2, " ".join([passage.replace("a", "b")] * 2)), (3, prose(703, 200)), (4, prose(704, 90)), (4, prose(704, 90)), (4, "other " + prose(705, 60)), (5, prose(706, 60)), (5, "so " + prose(706, 60))]
+    found = defaultdict(list)
+    for r in sorted(repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=lambda r: (r.doc_id, r.start)):
+        found[r.doc_id].append(r.keep)
+        assert r.first_doc == r.doc_id and r.n_words >= 28
+    assert found[1] == [True, False, False] and found[2] == [True, False] and sorted(found) == [1, 2, 4, 5]
+    assert sorted(found[4]) == sorted(found[5]) == [False, True]
