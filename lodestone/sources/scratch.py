@@ -7,27 +7,53 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
 
 
-def scratch(df: DataFrame, what: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back; it outlives lost executors, and goes when the driver ends.
+def folder(spark: SparkSession) -> str:
+    """The shared folder: spark.checkpoint.dir, else SparkContext.setCheckpointDir's. With neither, a local master (tests) gets
+    one below the warehouse; a cluster raises, as its executors would each write to a disk of their own."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        told = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = told.get() if told.isDefined() else None
+    if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    return root.rstrip("/")
+
 
-    Only where no folder is set, as in tests, it lies below the warehouse."""
+def scratch(df: DataFrame, what: str) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back; it outlives lost executors, and goes when the driver ends, or
+    by forget()."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
-    path = f"{root.rstrip('/')}/lodestone/{what}-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/lodestone/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _written:
         atexit.register(_clean)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def forget(df: DataFrame | None) -> None:
+    """Delete a table that scratch() has returned and that no later one reads; others are left alone."""
+    path = getattr(df, "_scratch", None)
+    if path in _written:
+        _delete(_written.pop(path), path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def _clean() -> None:
-    for spark, path in _written:
+    for path, spark in _written.items():
         try:
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session may have ended before; what stays is only scratch
             return
