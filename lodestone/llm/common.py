@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.sources.scratch import scratch  # noqa: F401  (for the operators)
+from lodestone.sources.scratch import forget, scratch  # noqa: F401  (for the operators)
 
 #: White space of the word rule: space and 0x09-0x0D.
 SPACES = "[\\x20\\x09-\\x0D]"
@@ -23,8 +23,9 @@ def n_words(text):
     return F.when(gaps == "", F.lit(0)).otherwise(F.size(F.split(gaps, f"{SPACES}+"))).cast("long")
 
 
-#: Bytes of a batch that a Python worker gets, and ids that are broadcast at most (about 16 MB).
-BATCH_BYTES, BROADCAST_IDS = 8 << 20, 500_000
+#: Bytes of a batch that a Python worker gets, and rows of a Bloom table at most (about 12 MB when broadcast).
+BATCH_BYTES, BLOOM_ROWS = 8 << 20, 1 << 18
+BROADCAST_IDS = 500_000
 
 
 def small_batches(df: DataFrame) -> DataFrame:
@@ -35,12 +36,43 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def without(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
-    """Rows of df whose `column` is not among ids (one long column); rows with a null stay. The ids are broadcast if they are
-    counted to be few; more are met by a shuffle."""
-    ids = scratch(ids.select(F.col(ids.columns[0]).alias("__gone")).distinct(), "gone")
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if few else ids, F.col(column).cast("long") == F.col("__gone"), "left_anti")
+def _place(key, rows: int) -> tuple:
+    """Where a Bloom table of so many rows keeps a key: its row, and three of the row's 64 bits."""
+    h, bits = F.xxhash64(key, F.lit(5)), None
+    for k in (0, 6, 12):
+        one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, k), F.lit(64)).cast("int"))
+        bits = one if bits is None else bits.bitwiseOR(one)
+    return F.pmod(F.xxhash64(key, F.lit(7)), F.lit(rows)), bits
+
+
+def _met(df: DataFrame, column: str, ids: DataFrame, most: int) -> tuple[DataFrame, DataFrame, DataFrame, object]:
+    """(rows of df whose `column` is for certain not among ids, all others, the ids as a table, the condition that meets them).
+
+    A blocked Bloom table of the ids tells them apart. It has `most` rows at most, whatever the number of ids, so it can be broadcast; with
+    more ids it lets more rows pass as others."""
+    kind = df.schema[column].dataType
+    ids = scratch(ids.select(F.col(ids.columns[0]).cast(kind).alias("__id")).where("__id is not null").distinct(), "ids")
+    rows, n = min(1024, most), ids.count()
+    while rows * 8 < n and rows < most:
+        rows = min(most, rows * 2)
+    word, bits = _place(F.col("__id"), rows)
+    bloom = ids.groupBy(word.alias("__word")).agg(F.bit_or(bits).alias("__bits"))
+    word, bits = _place(df[column], rows)
+    maybe = (word == bloom["__word"]) & (bloom["__bits"].bitwiseAND(bits) == bits)
+    return df.join(F.broadcast(bloom), maybe, "left_anti"), df.join(F.broadcast(bloom), maybe, "left_semi"), ids, df[column] == ids["__id"]
+
+
+def without(df: DataFrame, column: str, ids: DataFrame, most: int = BLOOM_ROWS) -> DataFrame:
+    """Rows of df whose `column` is not among ids (one column); rows with a null stay. Only rows that a Bloom table of the
+    ids holds back are shuffled to meet the ids themselves."""
+    sure, others, ids, same = _met(df, column, ids, most)
+    return sure.union(others.join(ids.hint("merge"), same, "left_anti"))
+
+
+def only(df: DataFrame, column: str, ids: DataFrame, most: int = BLOOM_ROWS) -> DataFrame:
+    """Rows of df whose `column` is among ids (one column), in the same way."""
+    _, others, ids, same = _met(df, column, ids, most)
+    return others.join(ids.hint("merge"), same, "left_semi")
 
 
 def slices(batch, column: str, most: int = 1 << 20) -> Iterator[tuple[int, int, bytes, list[int]]]:

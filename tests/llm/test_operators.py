@@ -68,7 +68,7 @@ def grams(text, width):
     return {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
 
 
-@pytest.mark.parametrize(("width", "percent", "block"), [(4, 85, 512), (5, 80, 512), (4, 85, 3)])
+@pytest.mark.parametrize(("width", "percent", "block"), [(4, 85, 1 << 18), (5, 80, 1 << 18), (4, 85, 400)])
 def test_jaccard(docs, width, percent, block):
     from lodestone.llm.jaccard_join import jaccard_components
 
