@@ -455,7 +455,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     met = comps.join(of_set.select("d1", "d2", "n", "rep"), F.col("node") == F.col("d1"))
     least = met.groupBy("component").agg(F.min("rep").alias("least"))
     label = met.join(least, "component").select("d1", "d2", "n", "least")
-    label = of_set.join(label, ["d1", "d2", "n"], "left").select("d1", "d2", "n", F.coalesce("least", "rep").alias("component"))
+    label = scratch(of_set.join(label, ["d1", "d2", "n"], "left").select("d1", "d2", "n", F.coalesce("least", "rep").alias("component")), "labels")  # a join of its own can be split where very many texts are equal
     out = sized.select("id", "n", "d1", "d2").join(label, ["d1", "d2", "n"], "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
 

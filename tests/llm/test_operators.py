@@ -334,53 +334,46 @@ def test_language_models(spark, none):
     assert cross_entropy_difference(none, ids).collect() == []
 
 
-def test_language_model_is_normalised(spark):
-    import numpy as np
-
-    from lodestone.llm.lm_score import train
-
-    df = spark.createDataFrame([(k, prose(k, 300, 30)) for k in range(20)], "doc_id long, text string")
-    m = train(df, df.where("doc_id < 10"))
-    size = len(m["vocab"]) + 2
-    before, word = (m["key"] >> np.uint64(32)).astype(int), (m["key"] & np.uint64(0xFFFFFFFF)).astype(int)
-    for k in "bt":
-        for a in range(size - 1):
-            p = np.exp(-(m["word_" + k] + m["back_" + k][a]))
-            p[0] = 0
-            p[word[before == a]] = np.exp(-m["pair_" + k][before == a])
-            assert p.sum() == pytest.approx(1)
-
-
-def test_language_model_keeps_rare_words(spark):
+def test_language_model_against_brute_force(spark):
     from collections import Counter
-    from math import log
-
-    from lodestone.llm.lm_score import cross_entropy_difference
-
-    rows = [(k, prose(k, 200, 50) + f" rare{k // 2} pair{k // 2} once{k}") for k in range(40)] + [(None, "rare1"), (7, "rare2 pair2")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    ids = spark.createDataFrame([(k,) for k in range(20)], "doc_id long")
-    texts = [(i, t.split()) for i, t in rows]
-    alone, pairs = ([Counter(), Counter()] for _ in range(2))
-    for i, w in texts:
+    from math import exp, log
+
+    from lodestone.llm import lm_score
+
+    rows = [(k, prose(k, 200, 50) + f" rare{k // 2} pair{k // 2} once{k}") for k in range(40)] + [(None, "rare1"), (7, "rare2 pair2"), (300, None), (301, " \n"), (302, "x " * 30_000 + prose(3, 50))]
+    new = [(900, prose(3, 50) + " rare3 pair3 never seen"), (901, None), (None, "rare1")]
+    made = lambda r: spark.createDataFrame(r, "doc_id long, text string").withColumn("flags", F.lit("x")).withColumn("h", F.lit(1))
+    df, others = made(rows).repartition(3).sortWithinPartitions("doc_id"), made(new)
+    ids = spark.createDataFrame([(k,) for k in range(20)] + [(3,), (None,), (777,)], "doc_id long")
+    alone, pairs, follow = ([Counter(), Counter()] for _ in range(3))
+    for i, t in rows:
+        w = (t or "").split()
         for k in (0, 1)[: 1 + (i is not None and i < 20)]:
             alone[k].update(w)
             pairs[k].update(zip([None, *w], w, strict=False))
+            follow[k].update([None, *w][: len(w)])
     known, both = {w for w, n in alone[0].items() if n >= 2}, {p for p, n in pairs[0].items() if n >= 2}
-
-    def loss(k, w):
-        total = alone[k].total()
-        mass = total + 0.5 * (len(known) + 1)
-        p = lambda x: (alone[k][x] + 0.5 if x in known else total - sum(alone[k][y] for y in known) + 0.5) / mass
-        follow = Counter()
-        for q in both:
-            follow[q[0]] += pairs[k][q]
-        return sum(-log(((pairs[k][q] if q in both else 0) + 100 * p(q[1])) / (follow[q[0]] + 100)) for q in zip([None, *w], w, strict=False)) / len(w)
-
-    want = sorted((i or 0, round(loss(1, w), 6), round(loss(0, w), 6)) for i, w in texts)
-    for shares in ({}, {"word_share": 1e-3, "pair_share": 1e-3}, {"word_share": 2.0, "pair_share": 2.0}):  # of the entries that are broadcast: all, some, none
-        got = cross_entropy_difference(df, ids, **shares).collect()
-        assert sorted((r.doc_id or 0, round(r.target_loss, 6), round(r.background_loss, 6)) for r in got) == want
+    unknown = [sum(n for w, n in alone[k].items() if w not in known) for k in (0, 1)]
+
+    def p(k, w):
+        return (alone[k][w] + 0.5 if w in known else unknown[k] + 0.5) / (alone[k].total() + 0.5 * (len(known) + 1))
+
+    def loss(k, t):
+        w = (t or "").split()
+        context = lambda a: follow[k][a] if a is None or a in known else 0
+        return sum(-log(((pairs[k][q] if q in both else 0) + 100 * p(k, q[1])) / (context(q[0]) + 100)) for q in zip([None, *w], w, strict=False)) / max(1, len(w))
+
+    for k in (0, 1):  # all words together have a probability of 1, and less after a word, for the pairs that are not known
+        assert sum(p(k, w) for w in known) + p(k, "never seen") == pytest.approx(1)
+        for a in [None, *known]:
+            assert sum(exp(-log((follow[k][a] + 100) / ((pairs[k][a, w] if (a, w) in both else 0) + 100 * p(k, w)))) for w in known) < 1
+    want = sorted((i or 0, round(loss(1, t), 4), round(loss(0, t), 4)) for i, t in rows + new)
+    for shares in ({}, {"word_share": 1e-3, "pair_share": 1e-3}, {"word_share": 2.0, "pair_share": 2.0}):  # of the entries that are broadcast: most, some, none
+        got = lm_score.cross_entropy_difference(df, ids, others=others, **shares).collect()
+        found = sorted((r.doc_id or 0, r.target_loss, r.background_loss) for r in got)
+        assert [x[0] for x in found] == [x[0] for x in want]
+        for x, y in zip(found, want, strict=True):
+            assert x[1:] == pytest.approx(y[1:], abs=2e-4), (shares, x, y)
 
 
 def test_chat(spark):
