@@ -25,7 +25,6 @@ def n_words(text):
 
 #: Bytes of a batch that a Python worker gets, and rows of a Bloom table at most (about 12 MB when broadcast).
 BATCH_BYTES, BLOOM_ROWS = 8 << 20, 1 << 18
-BROADCAST_IDS = 500_000
 
 
 def small_batches(df: DataFrame) -> DataFrame:

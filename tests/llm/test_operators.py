@@ -424,6 +424,84 @@ def test_chunks_repeated_in_one_document(spark):
     found = defaultdict(list)
     for r in sorted(repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=lambda r: (r.doc_id, r.start)):
         found[r.doc_id].append(r.keep)
-        assert r.first_doc == r.doc_id and r.n_words >= 28
+        assert r.first_doc == r.doc_id and r.n_words >= 20
     assert found[1] == [True, False, False] and found[2] == [True, False] and sorted(found) == [1, 2, 4, 5]
     assert sorted(found[4]) == sorted(found[5]) == [False, True]
+
+
+def chunk_spans(texts: dict, least: int) -> dict:
+    """(start, end, keep) of each text by brute force, from the chunks alone."""
+    from lodestone.llm.chunk_dedup import cuts
+
+    pieces, first = {}, {}
+    for i in sorted(texts):
+        raw = texts[i].encode()
+        ends = [0, *cuts(raw, [0, len(raw)]).tolist()] if raw else [0]
+        starts = {m.start() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)}
+        pieces[i] = [(a, b, raw[a:b], len([x for x in starts if a <= x < b])) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        for k, c in enumerate(pieces[i]):
+            first.setdefault(c[2], []).append((i, k))
+    out = {}
+    for i, of in pieces.items():
+        shared, k, out[i] = [len(first[c[2]]) > 1 for c in of], 0, []
+        near = lambda k: min(31, of[k][3]) / 2 if 0 <= k < len(of) else 0  # noqa: B023, E731
+        while k < len(of):
+            if not shared[k]:
+                k += 1
+                continue
+            end = next((j for j in range(k, len(of)) if not shared[j]), len(of))
+            runs = []
+            for j in range(k, end):
+                here = first[of[j][2]][0] == (i, j)
+                runs = runs if runs and runs[-1][0] == here else [*runs, (here, [])]
+                runs[-1][1].append(j)
+            about = [sum(of[j][3] for j in r) + (near(k - 1) if r[0] == k else 0) + (near(end) if r[-1] == end - 1 else 0) for _, r in runs]
+            if sum(about) >= least:
+                spans = []
+                for (here, r), n in zip(runs, about, strict=True):
+                    keep = here or n < least
+                    if spans and spans[-1][2] == keep:
+                        spans[-1] = (spans[-1][0], of[r[-1]][1], keep, spans[-1][3] + n)
+                    else:
+                        spans.append((of[r[0]][0], of[r[-1]][1], keep, n))
+                out[i] += [x[:3] for x in spans if x[3] >= least]
+            k = end
+    return out
+
+
+def test_chunks_against_brute_force(spark):
+    from lodestone.llm.chunk_dedup import removed, repeats
+
+    a, b, c, short = prose(800, 70), prose(801, 70), "naïve café 😀 " * 3 + prose(802, 60), prose(803, 12)
+    texts = {0: a, 1: f"{a} {b}", 2: f"{a} {b}", 3: f"{b} {a} {b} {prose(804, 40)}", 4: prose(805, 200), 5: f"{short} {prose(806, 80)} {c}", 6: f"{prose(807, 50)} {c} {short}", 7: "", 8: f"{c}é{c}", 9: "same " * 5000}
+    texts |= {20 + k: f"{prose(900 + k, 60)} {(a, b, c)[k % 3]} {prose(950 + k, 30)}" for k in range(9)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("start", F.lit(1)).withColumn("spans", F.lit("x")).repartition(3)
+    found = defaultdict(list)
+    for r in repeats(df).collect():
+        found[r.doc_id].append((r.start, r.end, r.keep))
+    want = {i: x for i, x in chunk_spans(texts, 34).items() if x}
+    assert {i: sorted(x) for i, x in found.items()} == want
+    assert [k for _, _, k in want[1]] == [False, True] and not any(k for _, _, k in want[2])
+    left = {r.doc_id: r.text for r in removed(df).collect()}
+    assert set(left) == set(texts) and removed(df).columns == df.columns and left[0] == a and left[4] == texts[4] and left[7] == ""
+    assert len(left[2]) < 80 and len(left[1]) < len(b) + 80
+    # every chunk's first place stays: the words of each passage are all left somewhere
+    kept = " ".join(left.values()).split()
+    assert all(set(t.split()) <= set(kept) for t in (a, b, c))
+    mixed = [(1, a), (1, a), (1, f"x {a}"), (None, a), (2, None), (3, f"{a} y")]
+    out = sorted((r.doc_id or 0, len(r.text or "")) for r in removed(spark.createDataFrame(mixed, "doc_id long, text string")).collect())
+    assert len(out) == 6 and out[0] == (0, len(a)) and max(n for i, n in out if i == 1) >= len(a) and sum(n for i, n in out if i == 1) < 2 * len(a) and out[-1][1] < 80
+    names = spark.createDataFrame([("p", a), ("q", f"{a} z")], "doc_id string, text string")
+    assert [(r.doc_id, r.first_doc, r.keep) for r in repeats(names).orderBy("doc_id").collect()] == [("p", "p", True), ("q", "p", False)]
+    assert removed(df.limit(0)).collect() == []
+
+
+def test_chunks_find_passages(spark):
+    from lodestone.llm.chunk_dedup import repeats
+
+    rows = []
+    for k in range(60):
+        passage = prose(3000 + k, 45)
+        rows += [(2 * k, f"{prose(4000 + k, 60)} {passage} {prose(5000 + k, 60)}"), (2 * k + 1, f"{prose(6000 + k, 60)} {passage} {prose(7000 + k, 60)}")]
+    got = {r.doc_id for r in repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len({i // 2 for i in got if i % 2}) >= 54
