@@ -25,13 +25,6 @@ def _fit(out: int) -> str:
     return f"CASE {' '.join(cases)} END"
 
 
-def _canonical(h: str, p: str, q: str) -> str:
-    host = f"regexp_replace(regexp_replace({h}, ':(80|443)$', ''), '^(www|m)\\.([^.]+\\.)', '\\2')"
-    path = f"regexp_replace(regexp_replace(regexp_replace({p}, '/index\\.(html?|php)$', '/'), '\\.html?$', ''), '/+$', '')"
-    kept = f"array_to_string(list_sort(list_filter(string_split({q}[2:], '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid|source)=?'))), '&')"
-    return f"{host} || {path} || CASE WHEN {kept} = '' THEN '' ELSE '?' || {kept} END"
-
-
 def _parts(rest: str) -> str:
     return f"translate(regexp_extract({rest}, '^[^/?#]*'), '{_UP}', '{_LOW}') AS host, regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract({rest}, '^[^/?#]*[^?#]*(\\?[^#]*)?', 1) AS query"
 
@@ -40,10 +33,10 @@ _REST = "CASE WHEN strpos(coalesce({0}, ''), '://') > 0 THEN substr({0}, strpos(
 
 OP3 = f"""
 WITH RECURSIVE p AS (SELECT page_id, html, {_parts(_REST.format('url'))} FROM pages),
-page AS (SELECT page_id, host, path, CASE WHEN host <> '' THEN host || path || query END AS node, {_canonical('host', 'path', 'query')} AS own,
+page AS (SELECT page_id, host, path, CASE WHEN host <> '' THEN host || path || query END AS node,
   regexp_extract(regexp_extract(coalesce(html, ''), '(?i)<link\\b[^>]*\\brel=["'']?canonical\\b[^>]*>'), '(?i)\\bhref=["'']?([^"''\\s>]+)', 1) AS aim FROM p),
-t AS (SELECT node, host || path || query AS "to", host, path, query FROM (SELECT node, {_parts(_REST.format('aim'))} FROM page WHERE node IS NOT NULL AND aim LIKE '%://%')),
-e AS (SELECT node AS a, own AS b FROM page WHERE node IS NOT NULL UNION SELECT node, "to" FROM t UNION SELECT "to", {_canonical('host', 'path', 'query')} FROM t),
+t AS (SELECT node, host || path || query AS "to", host, path FROM (SELECT node, {_parts(_REST.format('aim'))} FROM page WHERE node IS NOT NULL AND aim LIKE '%://%')),
+e AS (SELECT node AS a, node AS b FROM page WHERE node IS NOT NULL UNION SELECT node, "to" FROM t),
 near AS (SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT a, a FROM e UNION SELECT b, b FROM e),
 walk AS (SELECT a, b FROM near UNION SELECT w.a, n.b FROM walk w JOIN near n ON w.b = n.a),
 comp AS (SELECT a AS node, min(b) AS component FROM walk GROUP BY 1),

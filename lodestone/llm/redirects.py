@@ -1,15 +1,13 @@
 """URL filter with redirect equivalence: decisions hold for all addresses of a page.
 
-Nodes are addresses (host, path and query). Edges are declared redirects (meta refresh, `url=`-like parameters),
-declared canonical links, and each address's own canonical form (no fragment, tracking parameters, `www.`/`m.`,
-index file, `.html` or last slash). Connected components over these edges are found distributedly; an address that no rule
+Nodes are addresses (host, path and query; a fragment is no part of one). Edges are declared redirects (meta refresh, `url=`-like
+parameters) and declared canonical links. Only on request (`forms`) is an address also an alias of its usual form, without tracking
+parameters, `www.`/`m.`, index file, `.html` or last slash, as pages that differ in these need not be one. Connected components over these edges are found distributedly; an address that no rule
 fits gets its component's decision: allow if an allow rule fits any of the component's addresses, else block if a block rule
 does, else allow. A rule on the address itself always comes first."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,11 +49,11 @@ def rule_fit(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def canonical(host: Column, path: Column, query: Column) -> Column:
-    """The canonical form of an address."""
+    """The usual form of an address. Parameters go only by their whole name."""
     h = F.regexp_replace(F.regexp_replace(host, ":(80|443)$", ""), "^(www|m)\\.(?=[^.]+\\.)", "")
     p = F.regexp_replace(F.regexp_replace(path, "/index\\.(html?|php)$", "/"), "\\.html?$", "")
     p = F.regexp_replace(p, "/+$", "")
-    kept = F.filter(F.split(F.substring(query, 2, 1 << 30), "&"), lambda x: (x != "") & ~x.rlike("^(utm_[a-z]+|ref|fbclid|gclid|source)=?"))
+    kept = F.filter(F.split(F.substring(query, 2, 1 << 30), "&"), lambda x: (x != "") & ~x.rlike("^(utm_[a-z]+|ref|fbclid|gclid|source)(=|$)"))
     q = F.array_join(F.array_sort(kept), "&")
     return F.concat(h, p, F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))
 
@@ -100,11 +98,12 @@ def redirect_parameter(url: Column) -> Column:
     return F.when(t != "", F.regexp_replace(F.regexp_replace(F.regexp_replace(t, "%3[Aa]", ":"), "%2[Ff]", "/"), "%3[Ff]", "?"))
 
 
-def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html", rules=RULES) -> DataFrame:
+def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html", rules=RULES, forms: bool = False) -> DataFrame:
     """page_id, host, path, rule, verdict, by (rule, alias or default), component (the smallest address of it); a row for each row of pages.
 
     A null url or one without `://` has empty host and path, no rule and no aliases: verdict allow. Null html declares
-    nothing. Repeated pages are judged alike, and pages that repeat an id each get a row. No rows give no rows."""
+    nothing. Repeated pages are judged alike, and pages that repeat an id each get a row. Tags are read whole, however long. Other columns are
+    not looked at. forms: aliases of usual forms too. No rows give no rows."""
     url, html = F.col("url"), F.col("html")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), (F.col(html_col) if html_col else F.lit(None).cast("string")).alias("html"))
     host, path = host_of(url), path_of(url)
@@ -114,11 +113,10 @@ def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     aim = F.col("aim")
     aims = page.select("node", F.explode("targets").alias("aim")).select("node", aim, host_of(aim).alias("host"), path_of(aim).alias("path"), query_of(aim).alias("query")).where("host != ''")
     aims = aims.withColumn("to", F.concat("host", "path", "query"))
-    edges = reduce(DataFrame.unionByName, (
-        page.where("node is not null").select(F.col("node").alias("a"), F.col("own").alias("b")),
-        aims.select(F.col("node").alias("a"), F.col("to").alias("b")),
-        aims.select(F.col("to").alias("a"), canonical(F.col("host"), F.col("path"), F.col("query")).alias("b")),
-    ))
+    edges = aims.select(F.col("node").alias("a"), F.col("to").alias("b"))
+    if forms:
+        own = page.where("node is not null").select(F.col("node").alias("a"), F.col("own").alias("b"))
+        edges = edges.unionByName(own).unionByName(aims.select(F.col("to").alias("a"), canonical(F.col("host"), F.col("path"), F.col("query")).alias("b")))
     comps = connected_components(edges)
     seen = page.where("node is not null").select("node", "host", "path").unionByName(aims.select(F.col("to").alias("node"), "host", "path")).distinct()
     ruled = seen.select("node", rule_fit(F.col("host"), F.col("path"), rules)[1].alias("verdict")).where("verdict is not null")

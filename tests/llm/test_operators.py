@@ -175,7 +175,7 @@ def test_redirects(spark):
         (9, "http://m.io/a?url=http://b.net/z", ""), (10, "http://badnet/x", ""), (11, "http://org/fr/a", ""), (12, "http://one.io/1", '<link rel=canonical href=http://s.org/fr/1>'), (13, "http://one.io/1?ref=x", '<link href="http://q.net/" rel="canonical">'), (14, "http://x.example.com/de", ""), (0, "http://a.net/x", ""),
     ]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("node", F.lit(1)).withColumn("host", F.lit(1))
-    got = {r.page_id: r for r in judged(df).collect()}
+    got = {r.page_id: r for r in judged(df, forms=True).collect()}
     for i, url, _ in pages:
         host, path = parts(url)
         fit = [r for r in RULES if (host == r[1] or host.endswith("." + r[1])) and path.startswith(r[2])]
@@ -190,6 +190,75 @@ def test_redirects(spark):
     assert got[5].component == got[6].component and judged(df.limit(0)).collect() == []
 
 
+def declared_by_parser(url: str, html: str | None) -> list[str]:
+    """The targets of a page by the standard library's parsers: first canonical link, first refresh, redirect parameter."""
+    from html.parser import HTMLParser
+    from urllib.parse import parse_qsl, urljoin, urlsplit
+
+    found: dict = {}
+
+    class Tags(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            a = dict(attrs)
+            if tag == "link" and (a.get("rel") or "").lower() == "canonical":
+                found.setdefault("link", a.get("href"))
+            if tag == "meta" and (a.get("http-equiv") or "").lower() == "refresh":
+                found.setdefault("meta", (a.get("content") or "").partition("=")[2])
+
+    Tags().feed(html or "")
+    out = [urljoin(url, t) for t in found.values() if t and not t.startswith("#")]
+    return out + [v for k, v in parse_qsl(urlsplit(url).query) if k in ("url", "to", "target", "redirect", "dest") and v.startswith("http")][:1]
+
+
+def test_redirects_against_parsers(spark):
+    """Verdicts over random pages with canonical links, refreshes, relative links and parameters, by parsers that share nothing with the operator."""
+    from lodestone.llm.redirects import judged
+
+    r = random.Random(5)
+    hosts = ["a.net", "b.io", "c.io", "d.example.com", "e.org", "f.example.net", "g.io", "h.io"]
+    urls = [f"http://{h}{p}" for h in hosts for p in ("/", "/de/1", "/fr/1", "/en/1", "/x/item?reference=1", "/x/item?reference=2", "/x/item?refid=9", "/x/y.html", "/x/y")]
+    pages = []
+    for k in range(160):
+        url, to = r.choice(urls), r.choice([*urls, "/de/1", "other", "//e.org/fr/1", "/x/y"])
+        html = r.choice([None, "", f'<link rel="canonical" href="{to}">', f"<META http-equiv='Refresh' content='0; url={to}'>", f'<p><link href="{to}" rel="stylesheet"></p>', f'<link rel="alternate" href="{to}"><link class="x" href="{to}" rel="canonical">'])
+        if r.random() < 0.1:
+            url = "http://" + r.choice(hosts) + "/go?a=1&url=" + r.choice(["http://a.net/", "http%3A%2F%2Fd.example.com%2Fde%2F1", "nowhere"])
+        pages.append((k, url, html))
+    node = lambda u: (lambda h, p: (h, p, h + p + (("?" + u.split("#")[0].split("?", 1)[1]) if "?" in u.split("#")[0] else "")))(*parts(u))
+    parent: dict = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    seen = {}
+    for _, url, html in pages:
+        for u in [url, *(t for t in declared_by_parser(url, html) if "://" in t)]:
+            h, p, n = node(u)
+            seen[n] = (h, p)
+            parent[find(n)] = find(node(url)[2])
+
+    def rule(h, p):
+        fit = [x for x in RULES if (h == x[1] or h.endswith("." + x[1])) and p.startswith(x[2])]
+        return max(fit, key=lambda x: len(x[1] + x[2]))[0] if fit else None
+
+    told = defaultdict(set)
+    for n, (h, p) in seen.items():
+        told[find(n)].add(rule(h, p))
+    want = {}
+    for k, url, _ in pages:
+        h, p, n = node(url)
+        of = told[find(n)] - {None}
+        want[k] = rule(h, p) or ("allow" if "allow" in of or not of else "block")
+    got = {x.page_id: x for x in judged(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()}
+    assert {k: x.verdict for k, x in got.items()} == want
+    groups = defaultdict(set)
+    for k, url, _ in pages:
+        groups[find(node(url)[2])].add(got[k].component)
+    assert all(len(x) == 1 for x in groups.values()) and len(groups) == len(set().union(*groups.values()))
+
+
 def test_redirects_in_long_tags(spark):
     from lodestone.llm.redirects import judged
 
