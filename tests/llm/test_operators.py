@@ -104,23 +104,29 @@ def test_decontaminate(spark, docs, none):
     from lodestone.llm.decontaminate import clean, contaminated
 
     words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
-    sh = lambda t: {tuple(words(t)[k : k + 5]) for k in range(len(words(t)) - 4)}
+    sh = lambda t, k: (lambda w: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)})(words(t))
     rows = corpus()
     items = [(0, prose(3, 30)), (1, " ".join(prose(99, 20_000).split()[5000:5040])), (2, edit(" ".join(prose(4, 140).split()[10:90]), 5, 1)), (3, "too few"), (4, None), (5, prose(77, 40)), (6, " ".join(prose(5, 160).split()[2:50]).title() + "!"), (None, prose(3, 30)), (0, prose(3, 30))]
-    want, item_sets, doc_sets = set(), [(i, sh(t)) for i, t in items], [(r[0], sh(r[1])) for r in rows]
-    for i, a in item_sets:
+    items += [(7, " ".join(prose(99, 20_000).split()[700:703])), (8, "three"), (9, " ... "), (10, "Two, Three"), (11, prose(3, 30) + " " + prose(5, 40)), (11, prose(3, 30))]
+    want, item_sets, doc_sets = set(), defaultdict(set), [(r[0], {k: sh(r[1], k) for k in range(1, 6)}) for r in rows]
+    for i, t in items:
+        if i is not None and words(t):
+            item_sets[i] |= sh(t, min(5, len(words(t))))
+    for i, a in item_sets.items():
         for d, b in doc_sets:
-            if i is not None and a and len(a & b) >= 0.8 * len(a) - 1e-9:
-                want.add((d, i, len(a), len(a & b)))
+            found = {x for x in a if x in b[len(x)]}
+            if len(found) >= 0.8 * len(a) - 1e-9:
+                want.add((d, i, len(a), len(found)))
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = contaminated(docs.withColumn("item_id", F.lit("x")), bench).collect()
     assert {(r.doc_id, r.item_id, r.n_shingles, r.n_found) for r in got} == want and len(got) == len(want)
-    few = docs.where("doc_id between 13 and 20")
-    shuffled = contaminated(few, bench.where("item_id in (0, 2, 6)"), broadcast_rows=0).collect()
-    assert {(r.doc_id, r.item_id, r.n_shingles, r.n_found) for r in shuffled} == {x for x in want if 13 <= x[0] <= 20 and x[1] in (0, 2, 6)}
-    assert {i for _, i, *_ in want} == {0, 1, 2, 6}
-    assert {r.doc_id for r in clean(docs, bench).collect()} == {r[0] for r in rows} - {d for d, *_ in want}
+    assert {0, 1, 2, 6, 7, 8, 10} == {i for _, i, *_ in want}
+    long = {d for d, i, *_ in want if i not in (7, 8, 10)}
+    assert {r.doc_id for r in clean(docs, bench).collect()} == {r[0] for r in rows} - long
     assert contaminated(none, bench).collect() == [] and contaminated(docs, bench.limit(0)).collect() == []
+    named = spark.createDataFrame([("p", items[0][1]), ("q", "x"), (None, items[0][1])], "doc_id string, text string")
+    assert [(r.doc_id, r.item_id) for r in contaminated(named, bench.where("item_id = 0")).collect()] == [("p", 0)]
+    assert sorted(r.doc_id or "" for r in clean(named, bench.where("item_id = 0")).collect()) == ["", "q"]
 
 
 def test_mpeg(spark, docs, none):
