@@ -7,6 +7,8 @@ from datetime import date
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.sources.scratch import scratch
+
 #: Commits of the recent window, co-changes at least, per cent of the file's commits at least, co-changed files at most.
 RECENT, CHANGES, PERCENT, PARTNERS = 500, 3, 50.0, 5
 
@@ -43,13 +45,24 @@ def commit_files(commits: DataFrame) -> DataFrame:
 
 
 def co_changes(commits: DataFrame, at_least: int = CHANGES, percent: float = PERCENT, most: int = PARTNERS, of=None) -> DataFrame:
-    """path, other, together, percentage: the `most` files most often committed together with each path (or with those in `of`)."""
-    each = commits.select("sha", "path").distinct()
+    """path, other, together, percentage: the `most` files most often committed together with each path (or with those in `of`).
+
+    Not from all pairs of a commit: a path of t commits needs c = max(at_least, percent of t) of them with another, so that one is
+    in one of any t - c + 1 of its commits. The smallest ones give the candidates; a path's largest c - 1 commits, which may
+    touch whole trees, are only looked up for candidates."""
+    each = scratch(commits.select("sha", "path").distinct(), "touches")
     own = each if of is None else each.where(F.col("path").isin(*of))
     total = own.groupBy("path").agg(F.count("*").alias("total"))
-    both = own.join(each.withColumnRenamed("path", "other"), "sha").where("path <> other").groupBy("path", "other").agg(F.count("*").cast("long").alias("together"))
-    both = both.join(total, "path").withColumn("percentage", F.round(F.col("together") * 100.0 / F.col("total"), 6))
-    both = both.where((F.col("together") >= at_least) & (F.col("together") * 100.0 >= percent * F.col("total")))
+    need = F.greatest(F.lit(at_least), F.ceil(F.lit(percent) * F.col("total") / 100 - 1e-9)).cast("long")
+    total = total.select("path", "total", need.alias("need")).where("total >= need")
+    sizes = each.groupBy("sha").agg(F.count("*").alias("size"))
+    mine = own.join(total, "path").join(sizes, "sha")
+    first = mine.withColumn("at", F.row_number().over(Window.partitionBy("path").orderBy("size", "sha"))).where(F.col("at") <= F.col("total") - F.col("need") + 1)
+    others = each.withColumnRenamed("path", "other")
+    pairs = first.select("sha", "path").join(others, "sha").where("path <> other").select("path", "other").distinct()
+    met = pairs.join(mine.select("path", "sha", "total", "need"), "path").join(others, ["sha", "other"])
+    both = met.groupBy("path", "other").agg(F.count("*").cast("long").alias("together"), F.first("total").alias("total"), F.first("need").alias("need"))
+    both = both.where("together >= need").withColumn("percentage", F.round(F.col("together") * 100.0 / F.col("total"), 6))
     rank = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("together"), "other"))
     return both.withColumn("rank", rank.cast("long")).where(F.col("rank") <= most).select("path", "other", "together", "percentage", "rank")
 

@@ -39,20 +39,64 @@ def test_cycles_and_trace(spark, edges):
     ring = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (2, 1), (3, 3), (3, 4)], "src long, dst long")
     assert [list(r.path) for r in algorithms.cycles(ring).collect()] == [[1, 2], [1, 2, 3]]
     steps, more = algorithms.trace(edges, "m", 1)
-    assert [(r.node, r.depth) for r in steps.orderBy("depth", "node").collect()] == [("h", 1), ("r", 1)] and more
+    assert [(r.place, r.node, r.depth, r.parent) for r in steps.collect()] == [(1, "h", 1, "m"), (2, "r", 1, "m")] and more
     steps, more = algorithms.trace(edges, "m", 3)
     assert {r.node: r.depth for r in steps.collect()} == {"h": 1, "r": 1, "s": 2, "u": 2, "p": 3} and not more
+    few, more = algorithms.trace(edges, "m", 3, steps=3)
+    assert [r.node for r in few.collect()] == ["h", "r", "s"] and more
+    assert algorithms.trace(edges, None)[0].collect() == [] and not algorithms.trace(edges, "nobody")[1]
+    labelled = edges.where("src in ('m', 's')").select("src", "dst", F.lit("calls").alias("type"), F.lit("tree").alias("source"), F.lit("exact").alias("resolution"), F.array(F.lit(3)).alias("source_lines"))
+    labelled = labelled.unionByName(labelled.where("src = 's' and dst = 'u'").withColumn("type", F.lit("imports")).withColumn("src", F.lit("r")))
+    steps, _ = algorithms.trace(labelled, "u", 2, "both")
+    assert [(r.depth, r.node, r.parent, r.relationship, r.resolution, r.source_lines) for r in steps.collect()] == [(1, "r", "u", "imports", "exact", [3]), (1, "s", "u", "calls", "exact", [3]), (2, "m", "r", "calls", "exact", [3]), (2, "p", "s", "calls", "exact", [3])]
     assert {r.node for r in algorithms.reach(edges, "s", 9, "backward").collect()} == {"h", "r", "m"}
     assert {r.node: r.depth for r in algorithms.reach(edges, "r", 9, "both").collect()} == {"m": 1, "s": 1, "h": 2, "u": 2, "p": 2}
     assert algorithms.reach(edges, "nobody", 3).collect() == []
 
 
+def simple_cycles(edges: set, longest: int) -> list:
+    out = []
+
+    def walk(path):
+        for a, b in edges:
+            if a == path[-1]:
+                if b == path[0] and len(path) > 1:
+                    out.append(path)
+                elif b > path[0] and b not in path and len(path) < longest:
+                    walk([*path, b])
+
+    for n in {a for a, _ in edges}:
+        walk([n])
+    return sorted(out, key=lambda p: (len(p), p))
+
+
+def test_cycles_are_bounded(spark):
+    import random
+
+    r = random.Random(3)
+    some = {(a, b) for a, b in ((r.randrange(14), r.randrange(14)) for _ in range(34)) if a != b} | {(20, 21), (21, 22), (22, 20), (21, 20), (30, 31)}
+    want = simple_cycles(some, 10)
+    got, skipped = algorithms.bounded_cycles(spark.createDataFrame(list(some), "src long, dst long"))
+    assert [list(x.path) for x in got.collect()] == want[:100] and len(want) > 5 and skipped.first().skipped == 0
+    dense = [(a, b) for a in range(200) for b in range(200) if a != b and (a + b) % 3 == 0] + [(1000, 1001), (1001, 1000)]
+    got, skipped = algorithms.bounded_cycles(spark.createDataFrame(dense, "src long, dst long"))
+    assert [list(x.path) for x in got.collect()] == [[1000, 1001]] and skipped.first().skipped == 2  # multiples of 3, and all others
+    whole = [(a, b) for a in range(10) for b in range(10) if a != b]
+    got = algorithms.cycles(spark.createDataFrame(whole, "src long, dst long")).collect()
+    assert len(got) == 100 and {x.length for x in got} == {2, 3}
+    none, skipped = algorithms.bounded_cycles(spark.createDataFrame([(1, 2)], "src long, dst long"))
+    assert none.collect() == [] and skipped.first().skipped == 0
+
+
 def test_communities(spark):
     groups = [(a, b, 1) for g in (0, 10) for a in range(g, g + 4) for b in range(g, g + 4) if a < b] + [(3, 10, 1)]
     edges = spark.createDataFrame(groups, "src long, dst long, weight long")
-    for most in (200_000, 0):
-        got = {r.id: r.community for r in algorithms.communities(spark.range(15).select("id"), edges, most=most).collect()}
+    nodes = spark.range(15).select("id")
+    for method in (algorithms.communities, algorithms.propagated):
+        got = {r.id: r.community for r in method(nodes, edges).collect()}
         assert {n: got[n] for n in (0, 1, 2, 3)} == dict.fromkeys(range(4), 0) and {got[n] for n in (10, 11, 12, 13)} == {10} and got[14] == 14
+    with pytest.raises(ValueError, match="propagated"):
+        algorithms.communities(nodes, edges, most=5)
 
 
 def test_god_class(spark):
@@ -73,6 +117,20 @@ def test_history(spark):
     rows = [(s, k, f"2024-01-0{k} 12:00:00", p) for k, (s, paths) in enumerate([("c1", "abz"), ("c2", "ab"), ("c3", "ab"), ("c4", "a")], 1) for p in paths]
     commits = spark.createDataFrame(rows, "sha string, seq long, ts string, path string").withColumn("ts", F.col("ts").cast("timestamp"))
     assert {(r.path, r.other, r.together, r.percentage) for r in history.co_changes(commits).collect()} == {("a", "b", 3, 75.0), ("b", "a", 3, 100.0)}
+    import random
+    from collections import Counter, defaultdict
+
+    rnd = random.Random(7)
+    made = {(s, p) for s in range(60) for p in rnd.sample(range(12), rnd.choice([1, 2, 3, 12]))}
+    files, total, both = defaultdict(set), Counter(p for _, p in made), Counter()
+    for s, p in made:
+        files[s].add(p)
+    for ps in files.values():
+        both.update((a, b) for a in ps for b in ps if a != b)
+    for pct in (0.0, 15.0, 50.0, 60.0):
+        want = {(a, b, n) for (a, b), n in both.items() if n >= 3 and 100 * n >= pct * total[a]}
+        got = history.co_changes(spark.createDataFrame(list(made), "sha long, path long"), percent=pct, most=99)
+        assert {(r.path, r.other, r.together) for r in got.collect()} == want and (want or pct > 50)
     assert {r.path: r.frequency for r in history.frequency(history.recent_commits(commits, 2)).collect()} == {"a": 2, "b": 1}
     assert {r.path: r.frequency for r in history.frequency(commits, 3).collect()} == {"a": 3, "b": 3, "z": 1}
 
