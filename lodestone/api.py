@@ -74,13 +74,28 @@ class Engine:
         e = {r["type"]: r["n"] for r in graph.counts_by(self.code.edges, "type", "count").collect()}
         return {"entities": n, "edges": e, "languages": {r["language"]: r["n"] for r in graph.counts_by(self.code.files, "language").collect()}}
 
+    @cached_property
+    def names(self) -> dict:
+        """Names of communities for diagrams; those that have none are numbered there."""
+        members = self.communities.join(self.modules.select("id", F.col("file_path").alias("path")), "id")
+        return {r["community"]: r["name"] for r in issues.community_names(members.select("community", "path")).limit(self.limits.files).collect()}
+
     def coverage(self) -> dict:
-        return self.code.coverage.first().asDict()
+        """Counters of what was read and resolved, and of import components that are too large to be searched for cycles."""
+        return self.code.coverage.first().asDict() | {"cycle_components_skipped": self._cycles[1].first()["skipped"]}
 
     def warnings(self) -> list[str]:
         out = [r["warning"] for r in self.code.files.where("warning is not null").select("warning").orderBy("warning").limit(self.limits.files).collect()]
         if self.modules.limit(self.limits.many_files + 1).count() > self.limits.many_files:
             out.append(f"more than {self.limits.many_files} files; consider a folder of them")
+        c = self.coverage()
+        told = {
+            "line_files": "file(s) were read by line rules: declarations and imports only", "calls_ambiguous": "call(s) have several possible targets and stay unresolved",
+            "imports_ambiguous": "import(s) have several possible targets and stay unresolved", "cycle_components_skipped": "component(s) of imports are too large to be searched for cycles",
+        }
+        out += [f"{c[k]} {what}" for k, what in told.items() if c[k]]
+        if self.scope:
+            out.append(f"only {self.scope} was analysed; relations to other files are missing")
         return out
 
     def layers(self) -> list[str]:
@@ -103,16 +118,22 @@ class Engine:
         return out.select("id", "type", "name", "file_path", "relevance", F.coalesce("calls", none).alias("calls"), F.coalesce("called_by", none).alias("called_by")).orderBy("relevance", F.lower("name"), "file_path", "id")
 
     def trace(self, name: str, direction: str = "forward", depth: int = 5) -> tuple[DataFrame, bool]:
-        """(steps: node, depth; whether there is more). An unknown name has no steps."""
+        """(steps, whether there is more): see algorithms.trace(), with type, name, file_path and line_start of each node. An unknown name has no steps."""
         if direction not in ("forward", "backward", "both"):
             raise ValueError("direction is forward, backward or both")
         start = diagrams.find(self.code.nodes, name)
-        return algorithms.trace(self.code.edges, start, _clamp(depth, 1, 15), direction)
+        steps, more = algorithms.trace(self.code.edges, start, _clamp(depth, 1, 15), direction)
+        known = self.code.nodes.select(F.col("id").alias("node"), F.col("type").alias("node_type"), "name", "file_path", "line_start")
+        return known.join(F.broadcast(steps), "node").orderBy("place"), more  # a few steps
 
     # 4. Issues
 
+    @cached_property
+    def _cycles(self) -> tuple[DataFrame, DataFrame]:
+        return algorithms.bounded_cycles(self.import_edges)
+
     def cycles(self) -> DataFrame:
-        return algorithms.cycles(self.import_edges)
+        return self._cycles[0]
 
     def dead(self) -> DataFrame:
         return graph.dead(self.code.nodes, self.code.edges)
@@ -129,18 +150,16 @@ class Engine:
         return graph.god_classes(members.distinct(), self.code.edges)
 
     def issues(self, types: list[str] | None = None) -> DataFrame:
+        """type, severity, subject, description, suggestion, files, entities, source, rank. Unknown types are passed over; a rule that fails gives an issue that says so."""
         known = {
-            "circular_dependency": lambda: self.cycles().select(F.array_join(F.array_append("path", F.col("path")[0]), " → ").alias("path")),
+            "circular_dependency": lambda: self.cycles(),
             "dead_code": lambda: issues.dead_by_file(self.dead()),
             "god_class": lambda: issues.god_severity(self.god_classes()),
             "bottleneck": lambda: issues.bottlenecks(self.centrality),
             "orphan_file": lambda: issues.orphans(self.orphans()),
             "high_coupling": lambda: issues.high_coupling(graph.coupling(self._file_edges(), 10)),
         }
-        chosen = [t for t in known if types is None or t in types]
-        if not chosen:
-            return self.spark.createDataFrame([], "type string, severity string, subject string, rank long")
-        return issues.ranked({t: known[t]() for t in chosen})
+        return issues.detected(self.spark, {t: f for t, f in known.items() if types is None or t in types})
 
     # 5. Metrics
 
@@ -175,25 +194,27 @@ class Engine:
     # 6. Diagrams
 
     def visualize(self, kind: str = "architecture", scope: str | None = None, n: int = 15) -> str:
+        """A Mermaid diagram; one that says so, if there is nothing to draw."""
         n = _clamp(n, 5, 25)
         nodes, edges = self.code.nodes, self.code.edges
         if kind == "architecture":
-            return diagrams.architecture(nodes, edges, self.ranks, self.communities, n, scope)
+            return diagrams.architecture(nodes, edges, self.ranks, self.communities, self.names, n, scope)
         if kind in ("call_flow", "dependencies"):
             start = diagrams.find(nodes, scope or "", "entity" if kind == "call_flow" else "module")
             if start is None:
-                raise NotFound(f"nothing is named {scope}")
+                return diagrams.error(f"nothing is named {scope}")
             return (diagrams.call_flow if kind == "call_flow" else diagrams.dependencies)(nodes, edges, start, n)
         if kind == "layers":
-            return diagrams.layers(nodes, edges, self.ranks, self.communities, {}, n)
+            return diagrams.layers(nodes, edges, self.ranks, self.communities, self.names, n)
         if kind == "hotspot_map":
-            spans = self.modules.select(F.col("file_path").alias("path"), "span")
-            return diagrams.hotspot_map(issues.bands(history.hotspots(self._history(), spans), "path", F.desc("score"), F.asc("path")), n)
+            return diagrams.hotspot_map(self.modules, edges, history.frequency(self._history()), self.ranks, n)
         raise ValueError(f"a diagram is one of {', '.join(diagrams.KINDS)}")
 
     # 7. History of a file
 
-    def context(self, path: str, as_of: date | None = None) -> dict:
+    def context(self, path: str, as_of: date | None = None, entity: str | None = None) -> dict:
+        """The history of a file. Git knows no entities: one that is named changes nothing but the note in `source`."""
+        path = repository.inside(self.root, path)
         if self.modules.where(F.col("file_path") == path).isEmpty():
             raise NotFound(f"{path} is not among the analysed files")
         own = repository.commits(self.spark, self.root, self.limits, path).where(F.col("path") == path)
@@ -205,4 +226,5 @@ class Engine:
             "commits": [r.asDict() for r in own.orderBy(F.desc("seq")).select(F.substring("sha", 1, 8).alias("sha"), F.date_format("ts", "yyyy-MM-dd").alias("day"), "author", "message").limit(10).collect()],
             "owners": [r.asDict() for r in history.ownership(repository.blame(self.spark, self.root, [path], self.limits)).orderBy(F.desc("lines"), "author").collect()],
             "co_changed": [r.asDict() for r in pairs.orderBy("rank").collect()],
+            "source": f"git log, {self.limits.commits} newest commits" + ("; of the whole file, as history knows no entities" if entity else ""),
         }

@@ -57,6 +57,29 @@ def _inside(root: str, path: str) -> Path:
     return to
 
 
+def inside(root: str, path: str) -> str:
+    """A path below root in its plain form (`a/../b` is `b`); raises for others."""
+    if not path or not path.strip():
+        raise NotFound("a path below the repository is needed")
+    return _inside(root, path).relative_to(Path(root).resolve()).as_posix()
+
+
+def supported_extensions() -> list[str]:
+    """All suffixes that are read, in order."""
+    return sorted((*LANGUAGES, *BY_LINE))
+
+
+def wanted(files: DataFrame, path_col: str = "file_path", size_col: str = "size", limits: Limits = Limits()) -> DataFrame:  # noqa: B008
+    """The rows of files that scan() would read, by path and size, with their language: built-in functions, for listings of any size."""
+    parts = F.split(F.col(path_col), "/")
+    name = F.element_at(parts, -1)
+    folders = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    suffix = F.lower(F.regexp_extract(name, "[^.](\\.[^.]+)$", 1))
+    language = F.create_map(*(F.lit(x) for kv in {**LANGUAGES, **{e: e[1:] for e in BY_LINE}}.items() for x in kv))[suffix]
+    skipped = F.exists(folders, lambda f: f.isin(*SKIPPED_FOLDERS) | f.endswith(".egg-info"))
+    return files.withColumn("language", language).where(F.col("language").isNotNull() & ~skipped & ~name.isin(*SKIPPED_FILES) & (F.col(size_col) <= limits.file_bytes))
+
+
 def scan(spark: SparkSession, root: str, scope: str | None = None, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
     """file_path, size, content of the code files below root, or below its folder `scope`. Links to folders are not followed.
 
@@ -174,19 +197,39 @@ def commits(spark: SparkSession, root: str, limits: Limits = Limits(), path: str
     return spark.createDataFrame(rows, schema)
 
 
+def _blamed(root: str, most_bytes: int):
+    """The lines of files by author, one git process a file, in the tasks that have the paths."""
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            rows = []
+            for path in batch["path"]:
+                try:
+                    file = _inside(root, path)
+                    if not file.is_file() or file.stat().st_size > most_bytes:
+                        continue
+                except (NotFound, OSError):
+                    continue
+                author, counted = None, {}
+                for line in (_git(root, "blame", "--line-porcelain", "HEAD", "--", path) or "").split("\n"):
+                    if line.startswith("author "):
+                        author = line[7:]
+                    elif line.startswith("author-mail "):
+                        own = counted.setdefault(author, [line[12:].strip("<>"), 0])
+                        own[1] += 1
+                rows += [(path, a, mail, n) for a, (mail, n) in counted.items()]
+            yield pd.DataFrame(rows, columns=["path", "author", "email", "lines"])
+
+    return run
+
+
 def blame(spark: SparkSession, root: str, paths: list[str], limits: Limits = Limits()) -> DataFrame:  # noqa: B008
-    """path, author, email, lines at the current commit; files above the size limit give no rows."""
-    rows = []
-    for path in paths[: limits.owned_files]:
-        file = _inside(root, path)
-        if not file.is_file() or file.stat().st_size > limits.file_bytes:
-            continue
-        author, counted = None, {}
-        for line in (_git(root, "blame", "--line-porcelain", "HEAD", "--", path) or "").split("\n"):
-            if line.startswith("author "):
-                author = line[7:]
-            elif line.startswith("author-mail "):
-                own = counted.setdefault(author, [line[12:].strip("<>"), 0])
-                own[1] += 1
-        rows += [(path, a, mail, n) for a, (mail, n) in counted.items()]
-    return spark.createDataFrame(rows, "path string, author string, email string, lines long")
+    """path, author, email, lines at the current commit; files above the size limit give no rows. Paths are dealt to the tasks, which must see the folder, as
+    those of scan() must; each path is a git process of its own."""
+    for path in paths:
+        _inside(root, path)
+    few = [(p,) for p in paths[: limits.owned_files]]
+    dealt = spark.createDataFrame(few, "path string").repartition(max(1, min(len(few), spark.sparkContext.defaultParallelism)))
+    return dealt.mapInPandas(_blamed(root, limits.file_bytes), "path string, author string, email string, lines long")

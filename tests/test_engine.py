@@ -7,6 +7,7 @@ import subprocess
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
 FILES = {
     "app.py": "from shop.cart import add_item, total\nimport shop.stock as stock\n\n\ndef main():\n    add_item(1)\n    add_item(2)\n    stock.reserve(3)\n    unknown()\n\n\nmain()\n",
@@ -62,7 +63,8 @@ def test_scan_and_counts(engine):
     found = engine.counts()
     assert found["languages"] == {"python": 7, "typescript": 1, "javascript": 1, "go": 1}
     assert found["entities"] == {"module": 10, "function": 16, "class": 4}
-    assert sorted(engine.warnings()) == ["broken.py has syntax errors; it is analysed in part"]
+    assert sorted(engine.warnings()) == ["1 file(s) were read by line rules: declarations and imports only", "broken.py has syntax errors; it is analysed in part"]
+    assert engine.coverage()["cycle_components_skipped"] == 0
 
 
 def test_imports(engine):
@@ -90,8 +92,12 @@ def test_rules(engine):
     dead = {r.id for r in engine.dead().collect()}
     assert {"shop/stock.py::forgotten", "alone.py::Nobody", "broken.py::fine", "broken.py::bad"} <= dead and "app.py::main" not in dead
     assert {r.id for r in engine.orphans().collect()} == {"alone.py", "broken.py", "web/view.ts"}
-    kinds = [(r.type, r.severity) for r in engine.issues().orderBy("rank").collect()]
-    assert kinds[0] == ("circular_dependency", "high") and kinds[-1] == ("orphan_file", "low")
+    found = engine.issues().orderBy("rank").collect()
+    assert (found[0].type, found[0].severity) == ("circular_dependency", "high") and (found[-1].type, found[-1].severity) == ("orphan_file", "low")
+    assert found[0].description == "Circular dependency: shop/cart.py → shop/stock.py → shop/cart.py" and list(found[0].files) == ["shop/cart.py", "shop/stock.py"] and "third" in found[0].suggestion
+    assert all(r.description and r.suggestion and r.files and r.source for r in found)
+    dead = next(r for r in found if r.subject == "shop/stock.py")
+    assert list(dead.entities) == ["forgotten"] and "forgotten" in dead.description
     assert engine.issues(["nothing"]).collect() == [] and {r.type for r in engine.issues(["orphan_file", "x"]).collect()} == {"orphan_file"}
 
 
@@ -114,7 +120,9 @@ def test_search_and_trace(engine):
     with pytest.raises(ValueError):
         engine.search("x" * 121)
     steps, more = engine.trace("main", "forward", 1)
-    assert {r.node for r in steps.collect()} == {"shop/cart.py::add_item", "shop/stock.py::reserve"} and more
+    assert [(r.place, r.node, r.parent, r.relationship, r.resolution, list(r.source_lines), r.name) for r in steps.collect()] == [
+        (1, "shop/cart.py::add_item", "app.py::main", "calls", "exact", [6, 7], "add_item"), (2, "shop/stock.py::reserve", "app.py::main", "calls", "exact", [8], "reserve"),
+    ] and more
     back, more = engine.trace("of", "backward", 5)
     assert {r.node for r in back.collect()} == {"shop/cart.py::Cart.check", "shop/cart.py::total.one", "shop/cart.py::Cart.add", "shop/cart.py::total"} and not more
     assert engine.trace("no such name")[0].collect() == []
@@ -132,24 +140,63 @@ def test_history(engine, repo):
             engine.context(bad)
 
 
+def test_failing_rule(spark):
+    from lodestone.operators import issues
+
+    def bad():
+        raise RuntimeError("no such thing")
+
+    cycles = spark.createDataFrame([(["a", "b", "c"], 3)], "path array<string>, length long")
+    got = issues.detected(spark, {"dead_code": bad, "circular_dependency": lambda: cycles}).orderBy("rank").collect()
+    assert [(r.type, r.severity) for r in got] == [("circular_dependency", "high"), ("dead_code", "low")] and "no such thing" in got[1].description and "interface" in got[0].suggestion
+
+
 def test_diagrams(engine):
     for kind, scope in (("architecture", None), ("call_flow", "main"), ("dependencies", "shop/cart.py"), ("layers", None), ("hotspot_map", None)):
         drawn = engine.visualize(kind, scope)
         assert drawn.startswith("graph TD\n")
     assert "style shop_cart_py fill:#6f9" in engine.visualize("dependencies", "cart.py")
     assert "-.->|calls|" in engine.visualize("call_flow", "main")
+    drawn = engine.visualize("call_flow", "no such thing at all")
+    assert 'error_node["Error: nothing is named no ..."]' in drawn and "%% nothing is named no such thing at all" in drawn
+    assert "error_node" in engine.visualize("architecture", "no such folder")
+    hot = engine.visualize("hotspot_map").split("\n")
+    assert hot[1].strip().startswith("shop_prices_py[") and "style shop_prices_py fill:#ff5252" in drawn + "\n".join(hot) and hot[2].strip().startswith("shop_stock_py[")
+    assert "fill:" in engine.visualize("layers") and 'subgraph layer_1["' in engine.visualize("layers")
+
+
+def test_community_names(spark):
+    from lodestone.operators import diagrams, issues
+
+    rows = [(1, "src/routes/users.py"), (1, "main.py"), (2, "src/services/accounts.py"), (2, "src/services/deep/a.py"), (3, "src/a.py"), (3, "src/b.py"), (4, "a.py"), (5, "pkg/my-tool_kit/a.py"), (6, "x/a.py"), (6, "y/b.py")]
+    got = {r.community: r.name for r in issues.community_names(spark.createDataFrame(rows, "community int, path string")).collect()}
+    assert got == {1: "API Layer", 2: "Service Layer", 5: "My Tool Kit"}
+    nodes = spark.createDataFrame([(p, "module", p, p) for _, p in rows], "id string, type string, file_path string, name string").distinct()
+    edges = spark.createDataFrame([("main.py", "src/services/accounts.py", "imports")], "src string, dst string, type string")
+    ranks = nodes.select("id", F.lit(0.1).alias("score"))
+    members = spark.createDataFrame([(p, str(c)) for c, p in rows], "id string, community string")
+    names = {str(c): n for c, n in got.items()}
+    drawn = diagrams.layers(nodes, edges, ranks, members, names, 6)
+    assert '["API Layer"]' in drawn and "fill:#e1f5fe" in drawn and '["Layer ' in drawn and drawn.count("subgraph") == 6
+    assert 'subgraph group_2["Service Layer"]' in diagrams.architecture(nodes, edges, ranks, members, names, 20)
+    assert diagrams.layers(nodes.limit(0), edges, ranks, members, {}, 5).count("error_node") == 1
 
 
 def test_diagram_ids(spark):
-    from pyspark.sql import functions as F
+    import re
 
     from lodestone.operators import diagrams, text
 
     names = ["end", "foo.bar", "foo/bar", "foo_bar_2", "123-start", "!!!"]
-    assert list(diagrams.unique_ids(names).values()) == ["node_end", "foo_bar", "foo_bar_2", "foo_bar_2_2", "node_123_start", "unknown"]
-    got = spark.createDataFrame([(n,) for n in names], "n string").select(text.diagram_id(F.col("n")).alias("x")).collect()
+    chosen = spark.createDataFrame([(n, "module", n) for n in names], "id string, type string, name string")
+    d = diagrams.Drawing()
+    rows = d.take(chosen)
+    assert d.ids["end"] == "node_end" and d.ids["123-start"] == "node_123_start" and d.ids["!!!"] == "unknown" and d.ids["foo_bar_2"] == "foo_bar_2"
+    assert len(set(d.ids.values())) == 6 and all(re.fullmatch("[A-Za-z][A-Za-z0-9_]*", x) for x in d.ids.values()) and d.ids["foo.bar"].startswith("foo_bar_") and len(rows) == 6
+    got = chosen.select(text.diagram_id(F.col("id")).alias("x")).collect()
     assert [r.x for r in got] == ["node_end", "foo_bar", "foo_bar", "foo_bar_2", "node_123_start", "unknown"]
-    assert diagrams.label('a"\n<b>&c\\d') == "a&quot; &lt;b&gt;&amp;c&#92;d"
+    said = spark.createDataFrame([('a"\n<b>&c\\d',)], "n string").select(text.diagram_label(F.col("n")).alias("x")).first().x
+    assert said == "a&quot; &lt;b&gt;&amp;c&#92;d"
 
 
 def test_snapshot(spark, repo, tmp_path):
@@ -178,6 +225,36 @@ def test_scope_and_limits(spark, repo, tmp_path):
     assert repository.head(str(tmp_path)) is None and repository.commits(spark, str(tmp_path)).collect() == [] and repository.blame(spark, str(tmp_path), ["x.py"]).collect() == []
 
 
+def test_listing(spark):
+    from lodestone.sources import repository
+
+    rows = [("a/b.py", 5), ("node_modules/x.py", 5), ("a/x.egg-info/y.py", 5), ("yarn.lock", 5), ("big.py", 600_000), ("B.TSX", 1), ("m.kt", 1), ("notes.txt", 1), (".py", 1), ("d.tar.go", 2)]
+    got = {r.file_path: r.language for r in repository.wanted(spark.createDataFrame(rows, "file_path string, size long")).collect()}
+    assert got == {"a/b.py": "python", "B.TSX": "typescript", "m.kt": "kt", "d.tar.go": "go"}
+    every = repository.supported_extensions()
+    assert every == sorted(every) and {".py", ".tsx", ".scala"} <= set(every) and all(repository.language_of(e) for e in every)
+
+
+def test_line_rules_as_a_plan(spark):
+    """The plan over texts and the parser of one text find the same."""
+    from lodestone.functions import line_source
+
+    source = {
+        ("A.java", "java"): 'import x.y.Z;\npublic static int add(int a) {\n  if (a) {\n  return go(a);\nclass B {\npublic class C {\nimport "q";\r\n',
+        ("m.rs", "rs"): "fn run(a) {\nstruct Y {\nuse z;\nfrom a import b, c\nimport d, e\nELSE foo(\nwhile(\n  new Thing(x)\nvector<int, 3> make(int a)\n" + "a " * 1200 + "f(\n",
+        ("n.go", "go"): 'import "fmt"\nfunc Run(a int) {\n\ntype X struct\nenum E\nfrom x import y\nunit tests(',
+    }
+    df = spark.createDataFrame([(p, t, lang) for (p, lang), t in source.items()] + [("none.go", None, "go")], "file_path string, text string, language string")
+    got = {}
+    for r in line_source.found(df).collect():
+        got.setdefault(r.file_path, set()).add((r.kind, r.name) if r.kind == "import" else (r.kind, r.name, r.line_no))
+    want = {}
+    for (p, lang), t in source.items():
+        one = line_source.parse(p, t, lang)
+        want[p] = {(e["type"], e["name"], e["line_start"]) for e in one["entities"]} | {("import", i["target_module"]) for i in one["imports"]}
+    assert got == want and ("function", "make", 9) in got["m.rs"] and ("import", "d") in got["m.rs"] and not any(x[1] == "Thing" for x in got["m.rs"])
+
+
 def test_python_details():
     from lodestone.functions import python_source
 
