@@ -23,12 +23,11 @@ def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def inventory(rows: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
-    """rows (with a column line) that a rule matches, with its kind and what its first group captures. The first rule that matches wins."""
-    kind, name = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for k, pattern in reversed(rules):
-        hit = F.col("line").rlike(pattern)
-        kind, name = F.when(hit, k).otherwise(kind), F.when(hit, F.regexp_extract("line", pattern, 1)).otherwise(name)
-    return rows.withColumns({"kind": kind, "name": name}).where("kind is not null").drop("line")
+    """rows (with a column line) that a rule matches, with its kind and what its first group captures, which is never empty. The first rule that
+    matches wins; each is tried once."""
+    hit = lambda k, pattern: F.transform(F.filter(F.array(F.regexp_extract("line", pattern, 1)), lambda x: x != ""), lambda x: F.struct(F.lit(k).alias("kind"), x.alias("name")))
+    first = F.coalesce(*(F.get(hit(k, pattern), F.lit(0)) for k, pattern in rules))
+    return rows.withColumn("__hit", first).where("__hit is not null").select(*(c for c in rows.columns if c != "line"), "__hit.kind", "__hit.name")
 
 
 def links(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:

@@ -10,8 +10,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.api import Engine
+from lodestone.functions import line_source
 from lodestone.operators import algorithms, graph, history, issues, text
+from lodestone.plans import codegraph
 from lodestone.plans import relations as rel
+from lodestone.sources import repository
 
 AS_OF = date(2025, 1, 1)
 _found, _sql = {}, {}
@@ -32,6 +36,31 @@ WITH = {
     "spans": "SELECT n_name AS path, sum(n)::BIGINT AS span FROM calls JOIN supplier ON s_suppkey = s JOIN nation ON s_nationkey = n_nationkey GROUP BY 1",
     "shares": "SELECT src, dst, (import_count + call_count)::DOUBLE / sum(import_count + call_count) OVER (PARTITION BY src) AS share FROM modgraph",
     "ranks": "SELECT 0 AS k, n_name AS id, 1.0::DOUBLE / (SELECT count(*) FROM nation) AS score FROM nation UNION ALL (SELECT k + 1, id, 0.15::DOUBLE / (SELECT count(*) FROM nation) + 0.85::DOUBLE * (given + lost / (SELECT count(*) FROM nation)) FROM (SELECT any_value(r.k) AS k, n.n_name AS id, coalesce(sum(CASE WHEN s.dst = n.n_name THEN r.score * s.share END), 0.0) AS given, (SELECT coalesce(sum(score), 0.0) FROM ranks d WHERE d.id NOT IN (SELECT src FROM shares)) AS lost FROM nation n CROSS JOIN ranks r LEFT JOIN shares s ON s.src = r.id AND s.dst = n.n_name GROUP BY n.n_name) WHERE k < 20)",
+    "gsupp": "SELECT n_nationkey AS b, c, s FROM calls JOIN supplier ON s_suppkey = s JOIN nation ON s_nationkey = n_nationkey JOIN customer ON c_custkey = c WHERE c_nationkey <> s_nationkey",
+    "gcust": "SELECT c_nationkey AS a, c, s FROM calls JOIN customer ON c_custkey = c JOIN supplier ON s_suppkey = s WHERE c_nationkey <> s_nationkey",
+    "sparse": "SELECT src, dst, 1.0::DOUBLE / (import_count + call_count) AS distance FROM modgraph WHERE import_count > 0",
+    "roads": "SELECT src AS s, dst AS t, [src, dst] AS path, distance AS d FROM sparse UNION ALL SELECT s, dst, list_append(path, dst), d + distance FROM roads JOIN sparse ON src = t WHERE NOT list_contains(path, dst)",
+    "shortest": "SELECT r.s, r.t, path, count(*) OVER (PARTITION BY r.s, r.t) AS n FROM roads r JOIN (SELECT s, t, min(d) AS d FROM roads GROUP BY 1, 2) m ON r.s = m.s AND r.t = m.t AND r.d = m.d",
+    "between": "SELECT n_name AS id, round(coalesce(part, 0.0) / ((SELECT count(*) FROM nation) - 1) / ((SELECT count(*) FROM nation) - 2), 6) AS score FROM nation LEFT JOIN (SELECT v, sum(1.0::DOUBLE / n) AS part FROM (SELECT n, unnest(path[2:-2]) AS v FROM shortest) GROUP BY 1) ON v = n_name",
+    "walks": "SELECT [src] AS path, dst AS next FROM imports WHERE dst >= src UNION ALL SELECT list_append(path, next), dst FROM walks JOIN imports ON src = next WHERE len(path) < 10 AND next > path[1] AND NOT list_contains(path, next)",
+    "rings": "SELECT path, length FROM (SELECT path, length, row_number() OVER (ORDER BY length, path) AS r FROM (SELECT path, len(path)::BIGINT AS length FROM walks WHERE next = path[1])) WHERE r <= 100",
+    "places": "SELECT n_nationkey AS k, n_name, 'pkg/' || lower(n_name) || '.py' AS file FROM nation",
+    "brought": "SELECT a.file AS src, b.file AS dst, row_number() OVER (PARTITION BY a.file ORDER BY imports.dst) AS line FROM imports JOIN places a ON a.n_name = imports.src JOIN places b ON b.n_name = imports.dst",
+    "sold": "SELECT s_suppkey AS s, file, coalesce(i, 0) + 2 * row_number() OVER (PARTITION BY file ORDER BY s_suppkey) - 1 AS line FROM supplier JOIN places ON s_nationkey = k LEFT JOIN (SELECT src, count(*) AS i FROM brought GROUP BY 1) ON src = file",
+    "blocks": "SELECT c, file, m, coalesce(i, 0) + 2 * coalesce(u, 0) + 1 + coalesce(sum(m + 1) OVER (PARTITION BY file ORDER BY c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM (SELECT c, count(*) AS m FROM calls GROUP BY 1) JOIN customer ON c = c_custkey JOIN places ON c_nationkey = k LEFT JOIN (SELECT src, count(*) AS i FROM brought GROUP BY 1) ON src = file LEFT JOIN (SELECT file AS f, count(*) AS u FROM sold GROUP BY 1) ON f = file",
+    "said": "SELECT blocks.file || '::customer_' || c AS src, sold.file || '::supplier_' || s AS dst, blocks.file AS a, sold.file AS b, blocks.line + row_number() OVER (PARTITION BY c ORDER BY s) AS line FROM calls JOIN blocks USING (c) JOIN sold USING (s)",
+    "meant": "SELECT said.* FROM said LEFT JOIN brought ON brought.src = a AND brought.dst = b WHERE a = b OR brought.src IS NOT NULL",
+    "entities": "SELECT file || '::supplier_' || s AS id, 'function' AS type, file, 'supplier_' || s AS name, 2 AS span, line FROM sold UNION ALL SELECT file || '::customer_' || c, 'function', file, 'customer_' || c, m + 1, line FROM blocks",
+    "idle": "SELECT id, file, name FROM entities WHERE id NOT IN (SELECT dst FROM meant)",
+    "srcgraph": "SELECT a AS src, b AS dst, count(*) AS n FROM meant WHERE a <> b GROUP BY 1, 2",
+    "srcedges": "SELECT src, dst, 1 + coalesce(n, 0) AS weight FROM brought LEFT JOIN srcgraph USING (src, dst)",
+    "srcroads": "SELECT src AS s, dst AS t, [src, dst] AS path, 1.0::DOUBLE / weight AS d FROM srcedges UNION ALL SELECT s, dst, list_append(path, dst), d + 1.0::DOUBLE / weight FROM srcroads JOIN srcedges ON src = t WHERE NOT list_contains(path, dst)",
+    "srcshort": "SELECT r.s, r.t, path, count(*) OVER (PARTITION BY r.s, r.t) AS n FROM srcroads r JOIN (SELECT s, t, min(d) AS d FROM srcroads GROUP BY 1, 2) m ON r.s = m.s AND r.t = m.t AND r.d = m.d",
+    "srcbetween": "SELECT v AS id, round(sum(1.0::DOUBLE / n) / ((SELECT count(*) FROM nation) - 1) / ((SELECT count(*) FROM nation) - 2), 6) AS score FROM (SELECT n, unnest(path[2:-2]) AS v FROM srcshort) GROUP BY 1",
+    "srcwalks": "SELECT [src] AS path, dst AS next FROM brought WHERE dst >= src UNION ALL SELECT list_append(path, next), dst FROM srcwalks JOIN brought ON src = next WHERE len(path) < 10 AND next > path[1] AND NOT list_contains(path, next)",
+    "srcrings": "SELECT path FROM srcwalks WHERE next = path[1] ORDER BY len(path), path LIMIT 100",
+    "srccoupled": "SELECT least(src, dst) || ' <-> ' || greatest(src, dst) AS pair, sum(weight)::BIGINT AS score FROM srcedges GROUP BY 1",
+    "srcissues": "SELECT 'circular_dependency' AS type, 'high' AS severity, array_to_string(list_append(path, path[1]), ' → ') AS subject, 'Circular dependency: ' || array_to_string(list_append(path, path[1]), ' → ') AS description, len(path) AS n_files, 0 AS s, 0 AS o FROM srcrings UNION ALL SELECT 'dead_code', CASE WHEN count(*) >= 3 THEN 'medium' ELSE 'low' END, file, count(*) || ' declaration(s) in ' || file || ' that nothing seems to use: ' || string_agg(name, ', ' ORDER BY name), 1, CASE WHEN count(*) >= 3 THEN 1 ELSE 2 END, 1 FROM idle GROUP BY file UNION ALL SELECT 'bottleneck', CASE WHEN score > 0.3 THEN 'high' ELSE 'medium' END, id, 'Many paths lead through ' || id || ': betweenness ' || printf('%.3f', score), 1, CASE WHEN score > 0.3 THEN 0 ELSE 1 END, 3 FROM (SELECT * FROM srcbetween ORDER BY score DESC, id LIMIT 5) WHERE score > 0.1 UNION ALL SELECT 'orphan_file', 'low', 'orphans', max(r) || ' file(s) that no other file imports: ' || string_agg(file, ', ' ORDER BY file) FILTER (r <= 10) || CASE WHEN max(r) > 10 THEN ', and ' || (max(r) - 10) || ' more' ELSE '' END, least(max(r), 10), 2, 4 FROM (SELECT file, row_number() OVER (ORDER BY file) AS r FROM places WHERE file NOT IN (SELECT dst FROM brought)) HAVING count(*) > 0 UNION ALL SELECT 'high_coupling', CASE WHEN score > 10 THEN 'high' ELSE 'medium' END, pair, pair || ' refer to each other ' || score || ' times', 2, CASE WHEN score > 10 THEN 0 ELSE 1 END, 5 FROM (SELECT * FROM srccoupled ORDER BY score DESC, pair LIMIT 10) WHERE score > 5",
     "orphaned": "SELECT n_name FROM nation WHERE n_name NOT IN (SELECT dst FROM imports)",
     "paths": "SELECT DISTINCT regexp_extract(url, '://[^/]*/([a-z]+)', 1) || '/' || regexp_extract(url, '://(?:m\\.|www\\.|blog\\.)?([^./]+)', 1) || '.py' AS path FROM pages",
     "hrefs": "SELECT DISTINCT page_id, ltrim(target, '/') AS target FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS target FROM pages) WHERE ltrim(target, '/') <> ''",
@@ -42,7 +71,7 @@ WITH = {
     "decided": "SELECT target, arg_min(n, k) AS n, min(k) AS k, arg_min(owner, k) AS owner FROM (SELECT target, k, count(DISTINCT owner) AS n, min(owner) AS owner FROM stage GROUP BY 1, 2) GROUP BY 1",
     "answers": "SELECT page_id, target, CASE WHEN n IS NULL THEN 'unresolved' WHEN n > 1 THEN 'ambiguous' WHEN k = 0 THEN 'exact' ELSE 'inferred' END AS status FROM hrefs LEFT JOIN decided USING (target)",
     "fans": "SELECT s_nationkey, s, c, n FROM calls JOIN supplier ON s_suppkey = s",
-    "gods": "SELECT n_name AS cls, count(DISTINCT c)::BIGINT AS callers, 0::BIGINT AS dependencies, count(DISTINCT c)::BIGINT AS total FROM fans JOIN nation ON s_nationkey = n_nationkey GROUP BY 1",
+    "gods": "SELECT n_name AS cls, coalesce(x, 0)::BIGINT AS callers, coalesce(y, 0)::BIGINT AS dependencies, (coalesce(x, 0) + coalesce(y, 0))::BIGINT AS total FROM nation LEFT JOIN (SELECT b, count(DISTINCT c) AS x FROM gsupp GROUP BY 1) ON b = n_nationkey LEFT JOIN (SELECT a, count(DISTINCT s) AS y FROM gcust GROUP BY 1) ON a = n_nationkey",
     "coupled": "SELECT least(src, dst) || ' <-> ' || greatest(src, dst) AS pair, sum(n)::BIGINT AS score FROM pairs GROUP BY 1",
     "unused": "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)",
 }
@@ -86,10 +115,14 @@ def oracle_sql() -> dict:
 # Sources, scans and text
 
 
-@sql("SELECT doc_id, lang, source, n_chars FROM documents WHERE n_chars <= 5000 AND source NOT IN ('src0', 'src3') AND lang IN ('en', 'de')")
+@sql("SELECT doc_id, f || '/' || source || '_' || doc_id || e AS file_path, l AS language FROM (SELECT doc_id, source, n_chars, ['node_modules/a', 'lib.egg-info', 'src/core', 'app', 'dist', 'app/deep/er', 'web'][doc_id % 7 + 1] AS f, ['.py', '.JS', '.md', '.go', '.tsx', '.lock', '.java', '', '.kt', '.tar.rs', '.PYC'][doc_id % 11 + 1] AS e, ['python', 'javascript', NULL, 'go', 'typescript', NULL, 'java', NULL, 'kt', 'rs', NULL][doc_id % 11 + 1] AS l FROM documents) WHERE l IS NOT NULL AND doc_id % 7 NOT IN (0, 1, 4) AND n_chars * 100 <= 500000")
 def scan_filter(spark, sf_dir) -> DataFrame:
-    docs = rel.table(spark, sf_dir, "documents")
-    return docs.where((F.col("n_chars") <= 5000) & ~F.col("source").isin("src0", "src3") & F.col("lang").isin("en", "de")).select("doc_id", "lang", "source", "n_chars")
+    return repository.wanted(rel.listing(spark, sf_dir)).select("doc_id", "file_path", "language")
+
+
+@sql("SELECT 'parts/p' || p_partkey || '.' || l AS file_path, line_no::BIGINT AS line_no, kind, name FROM (SELECT p_partkey, ['go', 'java', 'rs'][p_partkey % 3 + 1] AS l, unnest([{'line_no': 1, 'kind': 'import', 'name': CASE WHEN p_partkey % 3 < 2 THEN 'lib/p' || p_size ELSE '\"lib/p' || p_size || '\"' END}, {'line_no': 2, 'kind': CASE WHEN p_partkey % 3 = 2 THEN 'import' END, 'name': 'pkg' || p_size}, {'line_no': 3, 'kind': 'function', 'name': 'make_' || p_partkey}, {'line_no': 6, 'kind': 'class', 'name': 'Part' || p_partkey}, {'line_no': 7, 'kind': 'function', 'name': 'price_' || p_partkey}], recursive := true) FROM part) WHERE kind IS NOT NULL")
+def line_rules(spark, sf_dir) -> DataFrame:
+    return line_source.found(rel.declarations(spark, sf_dir))
 
 
 @sql("SELECT doc_id, (length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS n_lines FROM documents")
@@ -202,11 +235,11 @@ def coverage_counts(spark, sf_dir) -> DataFrame:
     return _resolved(spark, sf_dir).agg(F.count("*").alias("observed"), n("exact", "inferred").alias("resolved"), n("ambiguous").alias("ambiguous"), n("unresolved").alias("unresolved"))
 
 
-@sql("SELECT (SELECT count(*) FROM orphaned)::BIGINT AS orphans, (SELECT count(*) FROM unused)::BIGINT AS dead, (SELECT count(*) FROM gods WHERE total > 10)::BIGINT AS god_classes, (SELECT round(avg(span), 6) FROM spans) AS avg_span", "orphaned", "unused", "gods", "spans")
+@sql("SELECT (SELECT count(*) FROM rings)::BIGINT AS cycles, (SELECT count(*) FROM (SELECT * FROM between ORDER BY score DESC, id LIMIT 5) WHERE score > 0.005)::BIGINT AS bottlenecks, (SELECT count(*) FROM orphaned)::BIGINT AS orphans, (SELECT count(*) FROM unused)::BIGINT AS dead, (SELECT count(*) FROM gods WHERE total > 10)::BIGINT AS god_classes, (SELECT round(avg(span), 6) FROM spans) AS avg_span", "orphaned", "unused", "gods", "spans", "rings", "between")
 def health_summary(spark, sf_dir) -> DataFrame:
     one = lambda df, name: df.agg(F.count("*").alias(name))
-    parts = [one(_orphans(spark, sf_dir), "orphans"), one(_dead(spark, sf_dir), "dead"), one(_gods(spark, sf_dir), "god_classes"), _spans(spark, sf_dir).agg(F.round(F.avg("span"), 6).alias("avg_span"))]
-    return reduce(lambda a, b: a.join(F.broadcast(b)), parts)  # one row each
+    parts = [one(algorithms.cycles(_sparse(spark, sf_dir)), "cycles"), one(bottlenecks(spark, sf_dir), "bottlenecks"), one(_orphans(spark, sf_dir), "orphans"), one(_dead(spark, sf_dir), "dead"), one(_gods(spark, sf_dir), "god_classes")]
+    return reduce(lambda a, b: a.join(F.broadcast(b)), [*parts, _spans(spark, sf_dir).agg(F.round(F.avg("span"), 6).alias("avg_span"))])  # one row each
 
 
 # Projections and rankings
@@ -215,7 +248,7 @@ def health_summary(spark, sf_dir) -> DataFrame:
 def _module_graph(spark, sf_dir) -> DataFrame:
     both = rel.nation_calls(spark, sf_dir).unionByName(rel.nation_imports(spark, sf_dir))
     home = rel.modules(spark, sf_dir).select("id", "file_path")
-    return graph.module_graph(both, F.broadcast(home))
+    return graph.module_graph(both, home)
 
 
 @sql("SELECT src, dst, import_count, call_count, import_count + call_count AS weight, round(1.0::DOUBLE / (import_count + call_count), 9) AS distance FROM modgraph", "modgraph")
@@ -252,7 +285,7 @@ def hotspots(spark, sf_dir) -> DataFrame:
     return graph.top(_hotspots(spark, sf_dir), 15, F.desc("score"), F.asc("path"))
 
 
-@sql(f"SELECT path, CASE WHEN (r - 1) / n < 0.2::DOUBLE THEN 'hot' WHEN (r - 1) / n < 0.5::DOUBLE THEN 'warm' WHEN (r - 1) / n < 0.8::DOUBLE THEN 'mild' ELSE 'cold' END AS band FROM (SELECT path, row_number() OVER (ORDER BY frequency * span DESC, path)::DOUBLE AS r, count(*) OVER ()::DOUBLE AS n FROM freq JOIN ({_BRANDS}) USING (path))", "freq")
+@sql(f"SELECT path, CASE WHEN r / n <= 0.2::DOUBLE THEN 'hot' WHEN r / n <= 0.5::DOUBLE THEN 'warm' WHEN r / n <= 0.8::DOUBLE THEN 'mild' ELSE 'cold' END AS band FROM (SELECT path, row_number() OVER (ORDER BY frequency * span DESC, path)::DOUBLE AS r, count(*) OVER ()::DOUBLE AS n FROM freq JOIN ({_BRANDS}) USING (path))", "freq")
 def hotspot_bands(spark, sf_dir) -> DataFrame:
     return issues.bands(_hotspots(spark, sf_dir), "path", F.desc("score"), F.asc("path"))
 
@@ -267,21 +300,20 @@ def ownership_topk(spark, sf_dir) -> DataFrame:
     return graph.top(history.main_owner(rel.blame(spark, sf_dir)), 15, F.desc("percentage"), F.asc("path"))
 
 
-@sql("SELECT * FROM (SELECT 'complexity' AS section, 's' || s AS item, sum(n)::BIGINT AS score FROM calls GROUP BY s ORDER BY 3 DESC, 2 LIMIT 5) UNION ALL SELECT * FROM (SELECT 'coupling', pair, score FROM coupled ORDER BY 3 DESC, 2 LIMIT 5) UNION ALL SELECT * FROM (SELECT 'frequency', path, frequency FROM freq ORDER BY 3 DESC, 2 LIMIT 5)", "calls", "coupled", "freq")
+@sql("SELECT * FROM (SELECT 'pagerank' AS section, id AS item, round(score, 6) AS score FROM ranks WHERE k = 20 ORDER BY 3 DESC, 2 LIMIT 5) UNION ALL SELECT * FROM (SELECT 'centrality', id, score FROM between ORDER BY 3 DESC, 2 LIMIT 5) UNION ALL SELECT * FROM (SELECT 'complexity', 's' || s, sum(n)::DOUBLE FROM calls GROUP BY s ORDER BY 3 DESC, 2 LIMIT 5)", "calls", "between", "ranks")
 def metric_summary(spark, sf_dir) -> DataFrame:
-    spans = rel.call_edges(spark, sf_dir).groupBy(F.col("dst").alias("item")).agg(F.sum("count").cast("long").alias("score"))
-    pairs = graph.coupling(rel.nation_calls(spark, sf_dir), None).withColumnRenamed("pair", "item")
-    often = history.frequency(rel.commits(spark, sf_dir)).select(F.col("path").alias("item"), F.col("frequency").alias("score"))
-    best = lambda name, df: df.orderBy(F.desc("score"), "item").limit(5).select(F.lit(name).alias("section"), "item", "score")
-    return best("complexity", spans).unionByName(best("coupling", pairs)).unionByName(best("frequency", often))
+    spans = rel.call_edges(spark, sf_dir).groupBy(F.col("dst").alias("id")).agg(F.sum("count").cast("double").alias("score"))
+    ranks = _pagerank(spark, sf_dir).select("id", F.round("score", 6).alias("score"))
+    best = lambda name, df: df.orderBy(F.desc("score"), "id").limit(5).select(F.lit(name).alias("section"), F.col("id").alias("item"), "score")
+    return best("pagerank", ranks).unionByName(best("centrality", betweenness(spark, sf_dir))).unionByName(best("complexity", spans))
 
 
 # History
 
 
-@sql("SELECT path, frequency FROM freq", "freq")
+@sql("SELECT path, least(count(*), 2400)::BIGINT AS frequency FROM touched GROUP BY 1", "touched")
 def change_frequency(spark, sf_dir) -> DataFrame:
-    return history.frequency(rel.commits(spark, sf_dir))
+    return history.frequency(rel.commits(spark, sf_dir), 2400)  # some brands have more commits, some fewer
 
 
 @sql("SELECT path, count(*)::BIGINT AS frequency FROM touched WHERE sha IN (SELECT DISTINCT sha FROM touched ORDER BY 1 DESC LIMIT 500) GROUP BY 1", "touched")
@@ -338,7 +370,7 @@ def _sparse(spark, sf_dir) -> DataFrame:
     return rel.nation_imports(spark, sf_dir).select("src", "dst")
 
 
-@rows_only
+@sql("SELECT id, score FROM between", "between")
 def betweenness(spark, sf_dir) -> DataFrame:
     edges = _module_graph(spark, sf_dir).join(_sparse(spark, sf_dir), ["src", "dst"], "left_semi")
     return algorithms.betweenness(rel.modules(spark, sf_dir).select("id"), edges)
@@ -353,26 +385,24 @@ def communities(spark, sf_dir) -> DataFrame:
     return _communities(spark, sf_dir)
 
 
-@rows_only
+_FOLDERS = ("src/api", "lib/models", "tools/my_kit", "services", "docs")
+
+
+@sql("SELECT DISTINCT ['API Layer', 'Data/Model Layer', 'My Kit', 'Service Layer', 'Docs'][n_regionkey % 5 + 1] AS layer FROM nation")
 def layers(spark, sf_dir) -> DataFrame:
-    members = _communities(spark, sf_dir).select("community", F.concat_ws("/", F.lit("services"), F.lower("community"), F.lower("id")).alias("path"))
+    folder = F.element_at(F.array(*(F.lit(f) for f in _FOLDERS)), (F.col("n_regionkey") % 5 + 1).cast("int"))
+    members = rel.table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("community"), F.concat(folder, F.lit("/"), F.lower("n_name"), F.lit("/a.py")).alias("path"))
     return issues.layers(members)
 
 
-@sql("SELECT path, length FROM (SELECT path, length, row_number() OVER (ORDER BY length, path) AS r FROM (SELECT array_to_string(path, ' -> ') AS path, len(path)::BIGINT AS length FROM walks WHERE next = path[1])) WHERE r <= 100", "imports")
+@sql("SELECT array_to_string(path, ' -> ') AS path, length FROM rings", "rings")
 def import_cycles(spark, sf_dir) -> DataFrame:
-    return algorithms.cycles(_sparse(spark, sf_dir), 6).select(F.array_join("path", " -> ").alias("path"), "length")
-
+    return algorithms.cycles(_sparse(spark, sf_dir)).select(F.array_join("path", " -> ").alias("path"), "length")
 
-_sql["import_cycles"] = _sql["import_cycles"].replace(" SELECT path, length FROM (SELECT path, length, row", ", walks AS (SELECT [src] AS path, dst AS next FROM imports WHERE dst >= src UNION ALL SELECT list_append(path, next), dst FROM walks JOIN imports ON src = next WHERE len(path) < 6 AND next > path[1] AND NOT list_contains(path, next)) SELECT path, length FROM (SELECT path, length, row", 1)
 
-
-def _trace_sql(edges: str, depth: int, most: int | None = None) -> str:
-    return f", near AS ({edges}), hops AS (SELECT 'NATION_0' AS node, 0 AS depth UNION ALL SELECT DISTINCT dst, hops.depth + 1 FROM hops JOIN near ON src = node WHERE hops.depth < {depth}) SELECT node, min(depth)::BIGINT AS depth FROM hops WHERE node <> 'NATION_0' GROUP BY 1" + (f" ORDER BY 2, 1 LIMIT {most}" if most else "")
-
-
-def _with_trace(name: str, edges: str, depth: int = 5) -> None:
-    _sql[name] = f"WITH RECURSIVE {', '.join(f'{n} AS ({WITH[n]})' for n in _needed(['imports']))}" + _trace_sql(edges, depth)
+def _with_trace(name: str, edges: str, depth: int = 5, start: str = "NATION_0") -> None:
+    walk = f", near AS ({edges}), hops AS (SELECT '{start}' AS node, 0 AS depth UNION SELECT dst, hops.depth + 1 FROM hops JOIN near ON src = node WHERE hops.depth < {depth}) SELECT node, min(depth)::BIGINT AS depth FROM hops WHERE node <> '{start}' GROUP BY 1"
+    _sql[name] = f"WITH RECURSIVE {', '.join(f'{n} AS ({WITH[n]})' for n in _needed(['imports']))}" + walk
 
 
 @rows_only
@@ -382,17 +412,17 @@ def trace_forward(spark, sf_dir) -> DataFrame:
 
 @rows_only
 def trace_backward(spark, sf_dir) -> DataFrame:
-    return algorithms.reach(_sparse(spark, sf_dir), "NATION_0", 5, "backward")
+    return algorithms.reach(_sparse(spark, sf_dir), "NATION_9", 5, "backward")
 
 
 @rows_only
 def trace_both(spark, sf_dir) -> DataFrame:
-    return algorithms.reach(_sparse(spark, sf_dir), "NATION_0", 3, "both")
+    return algorithms.reach(_sparse(spark, sf_dir), "NATION_0", 5, "both")
 
 
 _with_trace("trace_forward", "SELECT src, dst FROM imports")
-_with_trace("trace_backward", "SELECT dst AS src, src AS dst FROM imports")
-_with_trace("trace_both", "SELECT src, dst FROM imports UNION SELECT dst, src FROM imports", 3)
+_with_trace("trace_backward", "SELECT dst AS src, src AS dst FROM imports", start="NATION_9")
+_with_trace("trace_both", "SELECT src, dst FROM imports UNION SELECT dst, src FROM imports")
 
 
 @rows_only
@@ -401,7 +431,7 @@ def trace_truncated(spark, sf_dir) -> DataFrame:
     return spark.range(1).select(F.lit(more).alias("truncated"))
 
 
-_sql["trace_truncated"] = f"WITH RECURSIVE {', '.join(f'{n} AS ({WITH[n]})' for n in _needed(['imports']))}" + ", near AS (SELECT src, dst FROM imports), hops AS (SELECT 'NATION_0' AS node, 0 AS depth UNION ALL SELECT DISTINCT dst, hops.depth + 1 FROM hops JOIN near ON src = node WHERE hops.depth < 3), found AS (SELECT node, min(depth) AS depth FROM hops WHERE node <> 'NATION_0' GROUP BY 1) SELECT sum((depth <= 2)::INT) >= 15 OR max(depth) > 2 AS truncated FROM found"
+_sql["trace_truncated"] = f"WITH RECURSIVE {', '.join(f'{n} AS ({WITH[n]})' for n in _needed(['imports']))}" + ", near AS (SELECT src, dst FROM imports), hops AS (SELECT 'NATION_0' AS node, 0 AS depth UNION SELECT dst, hops.depth + 1 FROM hops JOIN near ON src = node WHERE hops.depth < 3), found AS (SELECT node, min(depth) AS depth FROM hops WHERE node <> 'NATION_0' GROUP BY 1) SELECT sum((depth <= 2)::INT) >= 15 OR max(depth) > 2 AS truncated FROM found"
 
 
 # Rules
@@ -438,7 +468,7 @@ def orphan_issue(spark, sf_dir) -> DataFrame:
 
 
 def _gods(spark, sf_dir) -> DataFrame:
-    homes = rel.homes(spark, sf_dir).where(F.col("id").startswith("s")).select(F.col("file_path").alias("cls"), "id")
+    homes = rel.homes(spark, sf_dir).select(F.col("file_path").alias("cls"), "id")
     return graph.god_classes(homes, rel.call_edges(spark, sf_dir))
 
 
@@ -447,9 +477,9 @@ def god_class(spark, sf_dir) -> DataFrame:
     return _gods(spark, sf_dir)
 
 
-@rows_only
+@sql("SELECT id, score, CASE WHEN score > 0.3 THEN 'high' ELSE 'medium' END AS severity FROM (SELECT * FROM between ORDER BY score DESC, id LIMIT 5) WHERE score > 0.005", "between")
 def bottlenecks(spark, sf_dir) -> DataFrame:
-    return issues.bottlenecks(betweenness(spark, sf_dir))
+    return issues.bottlenecks(betweenness(spark, sf_dir), over=0.005)
 
 
 @sql("SELECT pair, score, CASE WHEN score > 10 THEN 'high' ELSE 'medium' END AS severity FROM (SELECT * FROM coupled ORDER BY score DESC, pair LIMIT 10) WHERE score > 5", "coupled")
@@ -457,10 +487,50 @@ def high_coupling(spark, sf_dir) -> DataFrame:
     return issues.high_coupling(graph.coupling(rel.nation_calls(spark, sf_dir), 10))
 
 
-@sql("SELECT type, severity, subject, row_number() OVER (ORDER BY s, o, subject)::BIGINT AS rank FROM (SELECT 'dead_code' AS type, CASE WHEN count(*) >= 3 THEN 'medium' ELSE 'low' END AS severity, o_orderpriority AS subject, CASE WHEN count(*) >= 3 THEN 1 ELSE 2 END AS s, 1 AS o FROM unused GROUP BY o_orderpriority UNION ALL SELECT 'god_class', CASE WHEN total > 20 THEN 'high' ELSE 'medium' END, cls, CASE WHEN total > 20 THEN 0 ELSE 1 END, 2 FROM gods WHERE total > 10 UNION ALL SELECT 'orphan_file', 'low', 'orphans', 2, 4 FROM (SELECT 1 FROM orphaned LIMIT 1) UNION ALL SELECT 'high_coupling', CASE WHEN score > 10 THEN 'high' ELSE 'medium' END, pair, CASE WHEN score > 10 THEN 0 ELSE 1 END, 5 FROM (SELECT * FROM coupled ORDER BY score DESC, pair LIMIT 10) WHERE score > 5) ORDER BY 4 LIMIT 30", "unused", "gods", "orphaned", "coupled")
+@sql("SELECT type, severity, subject, row_number() OVER (ORDER BY s, o, subject)::BIGINT AS rank FROM (SELECT 'circular_dependency' AS type, 'high' AS severity, array_to_string(list_append(path, path[1]), ' → ') AS subject, 0 AS s, 0 AS o FROM rings UNION ALL SELECT 'dead_code' AS type, CASE WHEN count(*) >= 3 THEN 'medium' ELSE 'low' END AS severity, o_orderpriority AS subject, CASE WHEN count(*) >= 3 THEN 1 ELSE 2 END AS s, 1 AS o FROM unused GROUP BY o_orderpriority UNION ALL SELECT 'god_class', CASE WHEN total > 20 THEN 'high' ELSE 'medium' END, cls, CASE WHEN total > 20 THEN 0 ELSE 1 END, 2 FROM gods WHERE total > 10 UNION ALL SELECT 'bottleneck', CASE WHEN score > 0.3 THEN 'high' ELSE 'medium' END, id, CASE WHEN score > 0.3 THEN 0 ELSE 1 END, 3 FROM (SELECT * FROM between ORDER BY score DESC, id LIMIT 5) WHERE score > 0.005 UNION ALL SELECT 'orphan_file', 'low', 'orphans', 2, 4 FROM (SELECT 1 FROM orphaned LIMIT 1) UNION ALL SELECT 'high_coupling', CASE WHEN score > 10 THEN 'high' ELSE 'medium' END, pair, CASE WHEN score > 10 THEN 0 ELSE 1 END, 5 FROM (SELECT * FROM coupled ORDER BY score DESC, pair LIMIT 10) WHERE score > 5) ORDER BY 4 LIMIT 60", "unused", "gods", "orphaned", "coupled", "between", "rings")
 def issues_all(spark, sf_dir) -> DataFrame:
-    found = {"dead_code": issues.dead_by_file(_dead(spark, sf_dir)), "god_class": issues.god_severity(_gods(spark, sf_dir)), "orphan_file": issues.orphans(_orphans(spark, sf_dir)), "high_coupling": issues.high_coupling(graph.coupling(rel.nation_calls(spark, sf_dir), 10))}
-    return issues.ranked(found).select("type", "severity", "subject", "rank")
+    rules = {
+        "circular_dependency": lambda: algorithms.cycles(_sparse(spark, sf_dir)), "dead_code": lambda: issues.dead_by_file(_dead(spark, sf_dir)), "god_class": lambda: issues.god_severity(_gods(spark, sf_dir)),
+        "bottleneck": lambda: bottlenecks(spark, sf_dir), "orphan_file": lambda: issues.orphans(_orphans(spark, sf_dir)), "high_coupling": lambda: issues.high_coupling(graph.coupling(rel.nation_calls(spark, sf_dir), 10)),
+    }
+    return issues.detected(spark, rules, 60).select("type", "severity", "subject", "rank")
+
+
+# The whole code path: files are parsed, resolved and analysed
+
+
+def _engine(spark, sf_dir) -> Engine:
+    return Engine(spark, "", codegraph.build(repository.parsed(rel.sources(spark, sf_dir))), repository.Limits())
+
+
+@sql("SELECT id, type, span::INT AS span, line::INT AS line_start FROM entities UNION ALL SELECT file, 'module', greatest(1, coalesce(i, 0) + 2 * coalesce(u, 0) + coalesce(b, 0))::INT, 1 FROM places LEFT JOIN (SELECT src, count(*) AS i FROM brought GROUP BY 1) x ON x.src = file LEFT JOIN (SELECT file AS f, count(*) AS u FROM sold GROUP BY 1) y ON y.f = file LEFT JOIN (SELECT file AS g, sum(m + 1) AS b FROM blocks GROUP BY 1) z ON z.g = file", "entities", "brought", "sold", "blocks", "places")
+def source_nodes(spark, sf_dir) -> DataFrame:
+    return _engine(spark, sf_dir).code.nodes.select("id", "type", "span", "line_start")
+
+
+@sql("SELECT src, dst, 1::BIGINT AS \"count\", 'exact' AS resolution FROM brought", "brought")
+def source_imports(spark, sf_dir) -> DataFrame:
+    return _engine(spark, sf_dir).code.edges.where("type = 'imports'").select("src", "dst", "count", "resolution")
+
+
+@sql("SELECT src, dst, 1::BIGINT AS \"count\", 'exact' AS resolution, line::INT AS line FROM meant", "meant")
+def source_calls(spark, sf_dir) -> DataFrame:
+    return _engine(spark, sf_dir).code.edges.where("type = 'calls'").select("src", "dst", "count", "resolution", F.col("source_lines")[0].alias("line"))
+
+
+@sql("SELECT (SELECT count(*) FROM said)::BIGINT AS calls_observed, (SELECT count(*) FROM meant)::BIGINT AS calls_resolved, (SELECT count(*) FROM said)::BIGINT - (SELECT count(*) FROM meant)::BIGINT AS calls_unresolved, 0::BIGINT AS calls_ambiguous, (SELECT count(*) FROM nation)::BIGINT AS files, (SELECT count(*) FROM nation)::BIGINT AS tree_files, 0::BIGINT AS imports_ambiguous", "said", "meant")
+def source_coverage(spark, sf_dir) -> DataFrame:
+    return _engine(spark, sf_dir).code.coverage.select("calls_observed", "calls_resolved", "calls_unresolved", "calls_ambiguous", "files", "tree_files", "imports_ambiguous")
+
+
+@sql("SELECT type, severity, subject, description, n_files::INT AS n_files, row_number() OVER (ORDER BY s, o, subject)::BIGINT AS rank FROM srcissues ORDER BY 6 LIMIT 30", "srcissues")
+def source_issues(spark, sf_dir) -> DataFrame:
+    return _engine(spark, sf_dir).issues().select("type", "severity", "subject", "description", F.size("files").alias("n_files"), "rank")
+
+
+@sql("SELECT p::BIGINT AS place, depth::BIGINT AS depth, node, parent, 'imports' AS relationship FROM (SELECT row_number() OVER (ORDER BY dst) AS p, 1 AS depth, dst AS node, src AS parent FROM brought WHERE src = 'pkg/nation_0.py' UNION ALL SELECT (SELECT count(*) FROM brought WHERE src = 'pkg/nation_0.py') + row_number() OVER (ORDER BY q, node), 2, node, parent FROM (SELECT b.dst AS node, min(a.dst) AS q, min(b.src) AS parent FROM brought a JOIN brought b ON b.src = a.dst WHERE a.src = 'pkg/nation_0.py' AND b.dst <> a.src AND b.dst NOT IN (SELECT dst FROM brought WHERE src = 'pkg/nation_0.py') GROUP BY 1))", "brought")
+def source_trace(spark, sf_dir) -> DataFrame:
+    return _engine(spark, sf_dir).trace("pkg/nation_0.py", "forward", 2)[0].select("place", "depth", "node", "parent", "relationship")
 
 
 # Diagrams

@@ -69,3 +69,41 @@ def blame(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = lines.join(part, "l_partkey").groupBy("path", "l_suppkey").agg(F.sum("l_quantity").cast("long").alias("lines"))
     names = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("author"))
     return by.join(names, "l_suppkey").select("path", "author", F.concat(F.lower("author"), F.lit("@example.org")).alias("email"), "lines")
+
+
+def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, file_path, size: documents as files of a source tree, some in folders or of kinds that a scan passes over."""
+    of = lambda n, *names: F.element_at(F.array(*(F.lit(x) for x in names)), (F.col("doc_id") % n + 1).cast("int"))
+    folder = of(7, "node_modules/a", "lib.egg-info", "src/core", "app", "dist", "app/deep/er", "web")
+    suffix = of(11, ".py", ".JS", ".md", ".go", ".tsx", ".lock", ".java", "", ".kt", ".tar.rs", ".PYC")
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(folder, F.lit("/"), "source", F.lit("_"), F.col("doc_id").cast("string"), suffix).alias("file_path"), (F.col("n_chars") * 100).cast("long").alias("size"))
+
+
+def declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file_path, language, text: parts as files of three languages that are read by line rules, with imports, functions, classes and statements."""
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    language = F.element_at(F.array(F.lit("go"), F.lit("java"), F.lit("rs")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    text = F.concat(
+        F.lit('import "lib/p'), size, F.lit('"\nfrom pkg'), size, F.lit(" import part_"), key, F.lit(", other\nfunc make_"), key, F.lit("(x int) {\n  if (x) {\n    return sell_"), key,
+        F.lit("(x)\nstruct Part"), key, F.lit("\npublic static int price_"), key, F.lit("(int a) {\npublic class Hidden {\n"),
+    )
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("parts/p"), key, F.lit("."), language).alias("file_path"), language.alias("language"), text.alias("text"))
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file_path, content: a Python file for each nation. It imports the suppliers of the two nations it calls most, defines its own, and a
+    function for each of its customers, who calls each supplier of its orders once: of its own file, of an imported one, or of one that is not."""
+    path = lambda c: F.concat(F.lit("pkg/"), F.lower(c), F.lit(".py"))
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    sup = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("s"), "n_name")
+    name = lambda k, c: F.concat(F.lit(k), c.cast("string"))
+    joined = lambda items, each, by: F.array_join(F.transform(F.array_sort(items), each), by)
+    offered = sup.groupBy("n_name").agg(joined(F.collect_list("s"), lambda s: name("supplier_", s), ", ").alias("names"))
+    imports = nation_imports(spark, sf_dir).join(offered.withColumnRenamed("n_name", "dst"), "dst")
+    lines = imports.select(F.col("src").alias("n_name"), F.lit(0).alias("a"), "dst", F.lit(0).cast("long").alias("k"), F.concat(F.lit("from pkg."), F.lower("dst"), F.lit(" import "), "names").alias("line"))
+    lines = lines.unionByName(sup.select("n_name", F.lit(1).alias("a"), F.lit("").alias("dst"), F.col("s").cast("long").alias("k"), F.concat(F.lit("def "), name("supplier_", F.col("s")), F.lit("():\n    pass")).alias("line")))
+    made = calls(spark, sf_dir).groupBy("c").agg(joined(F.collect_set("s"), lambda s: F.concat(F.lit("    "), name("supplier_", s), F.lit("()")), "\n").alias("body"))
+    cust = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("c"), "n_name").join(made, "c")
+    lines = lines.unionByName(cust.select("n_name", F.lit(2).alias("a"), F.lit("").alias("dst"), F.col("c").cast("long").alias("k"), F.concat(F.lit("def "), name("customer_", F.col("c")), F.lit("():\n"), "body").alias("line")))
+    whole = lines.groupBy("n_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("a", "dst", "k", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    return nation.join(whole, "n_name", "left").select(path("n_name").alias("file_path"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("content"))
