@@ -6,8 +6,9 @@ counts and a walk's few steps. Betweenness and communities hold the graph in mem
 from __future__ import annotations
 
 import random
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
@@ -20,44 +21,63 @@ BROADCAST_EDGES = 2_000_000
 
 
 #: Rounds of a loop after which its lineage is cut by a table in the shared folder.
-CUT = 10
+CUT = 5
+
+
+@contextmanager
+def _settings(spark: SparkSession, **values):
+    """Settings of the session (dots as double underscores) that hold for a while."""
+    keys = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float | None = 1e-6) -> DataFrame:
     """id, score of nodes (id) by weighted edges (src, dst, weight), the mass of dead ends spread evenly.
 
     Ends after `rounds`, or when the scores change by less than tolerance a node in sum (tolerance None: never before). Edges are dealt by
-    source once and stay so, and scores by the same number of partitions, so a round shuffles only what nodes give, summed in each task."""
+    source once and stay so, and scores by the same rule in as many partitions, so a round shuffles only what nodes give, summed in each task."""
     spark = nodes.sparkSession
     n = nodes.count()
     if not n:
         return nodes.select("id", F.lit(0.0).alias("score"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
-    share = edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share"), F.lit(False).alias("own"), F.lit(False).alias("dead"))
-    # each node also has an edge to itself that gives nothing but hands its score on, so that a round reads the scores once
-    own = nodes.join(out.select(F.col("src").alias("id"), "total"), "id", "left").select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("share"), F.lit(True).alias("own"), F.col("total").isNull().alias("dead"))
-    share = scratch(share.unionByName(own), "share").repartition(parts, "src").cache()
-    ranks, lost, held, kept = nodes.select("id", F.lit(1.0 / n).alias("score")), share.where("dead").count() / n, [], None
-    for k in range(1, rounds + 1):
-        met = share.join(ranks, F.col("src") == F.col("id")).groupBy("dst").agg(F.sum(F.col("score") * F.col("share")).alias("given"), F.max(F.when(F.col("own"), F.col("score"))).alias("old"), F.max("dead").alias("dead"))
-        new = met.where("old is not null").select(F.col("dst").alias("id"), ((1 - damping) / n + damping * (F.col("given") + lost / n)).alias("score"), "old", "dead")
-        if k % CUT == 0:  # what came before is no longer read
-            before, kept = kept, scratch(new, "ranks")
-            for df in held:
-                df.unpersist()
-            forget(before)
-            new, held = kept, []
-        new = new.cache()
-        moved, lost = new.agg(F.sum(F.abs(F.col("score") - F.col("old"))), F.coalesce(F.sum(F.when(F.col("dead"), F.col("score"))), F.lit(0.0))).first()
-        ranks = new.select("id", "score")
-        held.append(new)
-        if tolerance is not None and moved < n * tolerance:
-            break
-    done = scratch(ranks, "ranks")
+    edges = scratch(edges.select("src", "dst", "weight"), "weighted")
+    # adaptive execution would merge partitions in some rounds and not in others, so that scores and edges were dealt in different ways; a
+    # round has nothing else for it to plan anew
+    with _settings(spark, spark__sql__adaptive__enabled="false"):
+        out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
+        share = edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share"), F.lit(False).alias("own"), F.lit(False).alias("dead"))
+        # each node also has an edge to itself that gives nothing but hands its score on, so that a round reads the scores once
+        own = nodes.join(out.select(F.col("src").alias("id"), "total"), "id", "left").select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("share"), F.lit(True).alias("own"), F.col("total").isNull().alias("dead"))
+        share = scratch(share.unionByName(own), "share").repartition(parts, "src").cache()
+        ranks, lost, held, kept = nodes.select("id", F.lit(1.0 / n).alias("score")).repartition(parts, "id"), share.where("dead").count() / n, [], None
+        for k in range(1, rounds + 1):
+            met = share.join(ranks.hint("shuffle_hash"), F.col("src") == F.col("id")).groupBy("dst").agg(F.sum(F.col("score") * F.col("share")).alias("given"), F.max(F.when(F.col("own"), F.col("score"))).alias("old"), F.max("dead").alias("dead"))
+            new = met.where("old is not null").select(F.col("dst").alias("id"), ((1 - damping) / n + damping * (F.col("given") + lost / n)).alias("score"), "old", "dead")
+            if k % CUT == 0:  # what came before is no longer read
+                before, kept = kept, scratch(new, "ranks")
+                for df in held:
+                    df.unpersist()
+                forget(before)
+                new, held = kept.repartition(parts, "id"), []
+            new = new.cache()
+            moved, lost = new.agg(F.sum(F.abs(F.col("score") - F.col("old"))), F.coalesce(F.sum(F.when(F.col("dead"), F.col("score"))), F.lit(0.0))).first()
+            ranks = new.select("id", "score")
+            held.append(new)
+            if tolerance is not None and moved < n * tolerance:
+                break
+        done = scratch(ranks, "ranks")
     for df in (*held, share):
         df.unpersist()
     forget(kept)
+    forget(edges)
     return done
 
 

@@ -44,25 +44,37 @@ def commit_files(commits: DataFrame) -> DataFrame:
     return own.select("sha", F.array_join("all", ",").alias("paths"), F.size("all").cast("long").alias("n_paths"))
 
 
-def co_changes(commits: DataFrame, at_least: int = CHANGES, percent: float = PERCENT, most: int = PARTNERS, of=None) -> DataFrame:
+#: Files of a commit up to which all its pairs are counted.
+WIDE = 256
+
+
+def co_changes(commits: DataFrame, at_least: int = CHANGES, percent: float = PERCENT, most: int = PARTNERS, of=None, wide: int = WIDE) -> DataFrame:
     """path, other, together, percentage: the `most` files most often committed together with each path (or with those in `of`).
 
-    Not from all pairs of a commit: a path of t commits needs c = max(at_least, percent of t) of them with another, so that one is
-    in one of any t - c + 1 of its commits. The smallest ones give the candidates; a path's largest c - 1 commits, which may
-    touch whole trees, are only looked up for candidates."""
+    All pairs of a commit are counted only if it touches `wide` files at most. Wider ones are looked up for candidates: a path of t commits needs c = max(at_least,
+    percent of t) of them with another, so if fewer than c are wide, the two meet in another commit; if more are, they meet in one of all
+    but the c - 1 widest of these, which then gives the candidates."""
     each = scratch(commits.select("sha", "path").distinct(), "touches")
-    own = each if of is None else each.where(F.col("path").isin(*of))
-    total = own.groupBy("path").agg(F.count("*").alias("total"))
+    mine = each if of is None else each.where(F.col("path").isin(*of))
     need = F.greatest(F.lit(at_least), F.ceil(F.lit(percent) * F.col("total") / 100 - 1e-9)).cast("long")
-    total = total.select("path", "total", need.alias("need")).where("total >= need")
-    sizes = each.groupBy("sha").agg(F.count("*").alias("size"))
-    mine = own.join(total, "path").join(sizes, "sha")
-    first = mine.withColumn("at", F.row_number().over(Window.partitionBy("path").orderBy("size", "sha"))).where(F.col("at") <= F.col("total") - F.col("need") + 1)
+    total = mine.groupBy("path").agg(F.count("*").alias("total")).withColumn("need", need).where("total >= need")
+    broad = scratch(each.groupBy("sha").agg(F.count("*").alias("size")).where(F.col("size") > wide), "broad")
+    some = not broad.isEmpty()
+    narrow = lambda df: df.join(broad.select("sha"), "sha", "left_anti") if some else df
+    pairs = lambda df: df.groupBy("path", "other").agg(F.count("*").cast("long").alias("together"))
     others = each.withColumnRenamed("path", "other")
-    pairs = first.select("sha", "path").join(others, "sha").where("path <> other").select("path", "other").distinct()
-    met = pairs.join(mine.select("path", "sha", "total", "need"), "path").join(others, ["sha", "other"])
-    both = met.groupBy("path", "other").agg(F.count("*").cast("long").alias("together"), F.first("total").alias("total"), F.first("need").alias("need"))
-    both = both.where("together >= need").withColumn("percentage", F.round(F.col("together") * 100.0 / F.col("total"), 6))
+    both = pairs(narrow(mine).join(narrow(others), "sha").where("path <> other"))
+    if some:
+        ours, theirs = mine.join(broad, "sha").join(total, "path"), others.join(broad.select("sha"), "sha", "left_semi")
+        few = ours.groupBy("path").agg(F.count("*").alias("n"))
+        enough = both.join(total, "path").join(few, "path", "left").where(F.col("together") + F.coalesce("n", F.lit(0)) >= F.col("need")).select("path", "other")
+        place = F.row_number().over(Window.partitionBy("path").orderBy("size", "sha"))
+        first = ours.withColumn("at", place).join(few, "path").where(F.col("at") <= F.col("n") - F.col("need") + 1)
+        meet = first.join(theirs, "sha").where("path <> other").select("path", "other")
+        asked = enough.unionByName(meet).distinct()
+        late = pairs(asked.join(ours.select("path", "sha"), "path").join(theirs, ["sha", "other"]))
+        both = both.unionByName(late).groupBy("path", "other").agg(F.sum("together").cast("long").alias("together"))
+    both = both.join(total, "path").where("together >= need").withColumn("percentage", F.round(F.col("together") * 100.0 / F.col("total"), 6))
     rank = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("together"), "other"))
     return both.withColumn("rank", rank.cast("long")).where(F.col("rank") <= most).select("path", "other", "together", "percentage", "rank")
 

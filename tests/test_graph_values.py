@@ -129,8 +129,9 @@ def test_history(spark):
         both.update((a, b) for a in ps for b in ps if a != b)
     for pct in (0.0, 15.0, 50.0, 60.0):
         want = {(a, b, n) for (a, b), n in both.items() if n >= 3 and 100 * n >= pct * total[a]}
-        got = history.co_changes(spark.createDataFrame(list(made), "sha long, path long"), percent=pct, most=99)
-        assert {(r.path, r.other, r.together) for r in got.collect()} == want and (want or pct > 50)
+        for wide in (256, 2):
+            got = history.co_changes(spark.createDataFrame(list(made), "sha long, path long"), percent=pct, most=99, wide=wide)
+            assert {(r.path, r.other, r.together) for r in got.collect()} == want and (want or pct > 50)
     assert {r.path: r.frequency for r in history.frequency(history.recent_commits(commits, 2)).collect()} == {"a": 2, "b": 1}
     assert {r.path: r.frequency for r in history.frequency(commits, 3).collect()} == {"a": 3, "b": 3, "z": 1}
 
