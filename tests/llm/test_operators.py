@@ -373,6 +373,23 @@ def test_apportion(spark, docs, none):
     assert sainte_lague(votes, seats) == [sum(i == j for _, j in quotients) for i in range(5)]
     assert sainte_lague([1.0, 1.0, 1.0], 2) == [1, 1, 0] and sainte_lague([5.0, 1.0], 9, [3, 9]) == [3, 6] and sainte_lague([0.0], 3) == [0]
     assert targets([100, 10, 50, 0], [3, 1, 2, 3], 240) == pytest.approx([132, 20, 88, 0])
+    from lodestone.llm.apportion import source_quotas, source_targets
+
+    r = random.Random(8)
+    for n in (1, 2, 40, 400):
+        per = [(None if k == 1 else f"s{k:03}", r.choice([0, 3, 50, 1000, 90_000])) for k in range(n)]
+        per = sorted(per, key=lambda x: (x[0] is None, x[0] or ""))
+        sums = [v for _, v in per]
+        aims = targets(sums, [(3.0, 1.0, 2.0)[k % 3] for k in range(n)], 1.5 * sum(sums))
+        table = source_targets(spark.createDataFrame(per, "_source string, n long").repartition(3), (3.0, 1.0, 2.0), 1.5, 2.0)
+        found = {x.k: (x["_source"], x.target) for x in table.collect()}
+        assert [found[k][0] for k in range(n)] == [name for name, _ in per] and [found[k][1] for k in range(n)] == pytest.approx(aims)
+        for seats in (0, 1, n // 3, 5 * n, 1000):
+            most = [int(2 * a) + 1 if a > 0 else 0 for a in aims]
+            quotas = source_quotas(table, seats, F.floor(2 * F.col("target")) + 1)
+            # by the quotients one by one, as in the definition
+            best = sorted((-a / (2 * s + 1), k) for k, a in enumerate(aims) if a > 0 for s in range(min(most[k], seats)))[:seats]
+            assert [x.quota for x in quotas.orderBy("k").collect()] == [sum(k == i for _, k in best) for i in range(n)]
     rows = corpus()
     size = {r[0]: len((r[1] or "").encode().split()) for r in rows}
     got = mixed(docs.withColumn("shards", F.lit("x")).withColumn("size", F.lit("x")), shard_tokens=5000).collect()
@@ -392,6 +409,9 @@ def test_apportion(spark, docs, none):
     again = mixed(docs.repartition(3), shard_tokens=5000, keep=("lang", "source", "text")).collect()
     assert {r.doc_id: r.taken for r in again} == taken and again[0].lang == "en"
     assert mixed(none).collect() == []
+    same = [(k % 3 if k % 5 else None, f"w{k} " * (k % 4 * 50), None, "ab"[k % 2], 0) for k in range(60)] + [(7, "x y z", None, "a", 0)] * 4
+    first, second = (sorted((x.doc_id or -1, x["size"], x.taken, x.text) for x in mixed(spark.createDataFrame(same, SCHEMA).repartition(n), keep=("text",), shard_tokens=300).collect()) for n in (1, 4))
+    assert first == second and len(first) == 64
 
 
 def test_language_models(spark, none):
