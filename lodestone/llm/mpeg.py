@@ -1,8 +1,8 @@
 """MPEG audio columns: frames are resynchronised and checked, tags and variable-bitrate tables parsed, durations exact.
 
-parse() reads any byte string: ID3v2 tags before, ID3v1 and APEv2 after, MPEG 1, 2 and 2.5 of layers I to III, Xing, Info
-and VBRI tables, and CRC-16 of protected layer III frames. A header counts if the frame it describes ends at the end of the
-stream or at another header of the same version, layer and sampling rate; anything else is skipped and counted.
+parse() reads any byte string: ID3v2 tags (2.2 to 2.4) before and between frames, ID3v1 and APEv2 after them, MPEG 1, 2 and 2.5 of layers I to III, free
+format included, Xing, Info and VBRI tables with their seek points, and CRC-16 of protected frames of all layers. A header counts if the frame it
+describes ends at the end of the stream or at another header of the same version, layer and sampling rate; anything else is skipped and counted.
 
 carry() is the lossless container used for texts: a silent MPEG-1 layer III stream, each frame's side information all zero and
 its main data free for ancillary bytes, which hold the payload. The first frame holds a Xing table and an ID3v2 tag
@@ -32,6 +32,9 @@ BITRATES = {
 # Samples a second by index, for version 1.
 RATES = (44100, 48000, 32000)
 
+# Fixed values of the standard: bits of a subband's allocation in layer II as (subbands, bits) runs, by table.
+ALLOCATION = {"a": ((11, 4), (12, 3), (4, 2)), "b": ((11, 4), (12, 3), (7, 2)), "c": ((2, 4), (6, 3)), "d": ((2, 4), (10, 3)), "lsf": ((4, 4), (7, 3), (19, 2))}
+
 _RATE = 32000
 _SIDE = 17  # mono, version 1
 _HEADER = 0xFFFA00C0 | 2 << 10  # version 1, layer III, protected, 32 kHz, one channel
@@ -65,31 +68,78 @@ def crc16(data: bytes) -> int:
     return c
 
 
+def crc16_bits(head: bytes, data: bytes, bits: int) -> int | None:
+    """The same over head and the first bits of data; None if data has fewer."""
+    if bits > 8 * len(data):
+        return None
+    whole, rest = divmod(bits, 8)
+    c = crc16(head + data[:whole])
+    for k in range(rest):
+        bit = data[whole] >> (7 - k) & 1
+        c = (c << 1 & 0xFFFF) ^ (0x8005 if (c >> 15) ^ bit else 0)
+    return c
+
+
 class Header:
-    """What a frame header says; size is None if the word is no header (or of free format)."""
+    """What a frame header says; size is None if the word is no header. In free format it is 0, as only the distance to the next frame tells."""
 
-    __slots__ = ("channels", "crc", "kind", "layer", "rate", "samples", "side", "size", "kbit", "version")
+    __slots__ = ("bound", "channels", "crc", "kbit", "kind", "layer", "pad", "rate", "samples", "side", "size", "version")
 
     def __init__(self, word: int):
         self.size = None
         version = {3: 1, 2: 2, 0: 25}.get(word >> 19 & 3)
         layer = 4 - (word >> 17 & 3)
-        rate, index = word >> 10 & 3, word >> 12 & 15
-        if word >> 21 != 0x7FF or version is None or layer == 4 or rate == 3 or index in (0, 15) or word & 3 == 2:
+        rate, index, mode = word >> 10 & 3, word >> 12 & 15, word >> 6 & 3
+        if word >> 21 != 0x7FF or version is None or layer == 4 or rate == 3 or index == 15 or word & 3 == 2:
             return
         self.version, self.layer, self.crc = version, layer, not word >> 16 & 1
         self.rate = RATES[rate] // {1: 1, 2: 2, 25: 4}[version]
         self.kbit = BITRATES[min(version, 2), layer][index]
-        self.channels = 1 if word >> 6 & 3 == 3 else 2
-        pad = word >> 9 & 1
+        self.channels = 1 if mode == 3 else 2
+        self.bound = 4 * (word >> 4 & 3) + 4 if mode == 1 else 32  # subbands from here on share their allocation
         self.samples = 384 if layer == 1 else 1152 if layer == 2 or version == 1 else 576
-        if layer == 1:
-            self.size = (12 * self.kbit * 1000 // self.rate + pad) * 4
+        self.pad = (word >> 9 & 1) * (4 if layer == 1 else 1)
+        if not index:
+            self.size = 0
+        elif layer == 1:
+            self.size = 12 * self.kbit * 1000 // self.rate * 4 + self.pad
         else:
-            self.size = self.samples // 8 * self.kbit * 1000 // self.rate + pad
+            self.size = self.samples // 8 * self.kbit * 1000 // self.rate + self.pad
         self.side = 0 if layer < 3 else (32, 17)[self.channels == 1] if version == 1 else (17, 9)[self.channels == 1]
         self.kind = (version, layer, self.rate)
 
+    def allocation(self, size: int) -> list[int]:
+        """Layer II: the bits of each subband's allocation, for a frame of that size."""
+        if self.version != 1:
+            table = "lsf"
+        else:
+            each = (self.kbit or size * self.rate * 8 // self.samples // 1000) / self.channels
+            if self.rate == 48000 and each >= 56 or 56 <= each <= 80:
+                table = "a"
+            elif each >= 96:
+                table = "b"
+            else:
+                table = "d" if self.rate == 32000 else "c"
+        return [bits for n, bits in ALLOCATION[table] for _ in range(n)]
+
+    def crc_good(self, frame: bytes) -> bool:
+        """Whether the checksum of a protected frame is that of what it covers: the header and, by layer, the allocation, also which scale factors there
+        are, or the side information."""
+        said, head, body = int.from_bytes(frame[4:6], "big"), frame[2:4], frame[6:]
+        if self.layer == 3:
+            return crc16(head + body[: self.side]) == said
+        if self.layer == 1:
+            bound = min(self.bound, 32)
+            return crc16_bits(head, body, 4 * (bound * self.channels + 32 - bound)) == said
+        number, at, bits, chosen = int.from_bytes(body[:64].ljust(64, b"\0"), "big"), 512, 0, 0
+        for sub, width in enumerate(self.allocation(len(frame))):
+            for _ in range(self.channels if sub < self.bound else 1):
+                at -= width
+                if number >> at & ((1 << width) - 1):
+                    chosen += 1 if sub < self.bound else self.channels
+                bits += width
+        return crc16_bits(head, body, bits + 2 * chosen) == said
+
 
 _headers: dict[int, Header] = {}
 
@@ -103,7 +153,10 @@ def _header(data: bytes, at: int) -> Header | None:
         h = Header(word)
         if len(_headers) < 65536:
             _headers[word] = h
-    return h if h.size else None
+    return h if h.size is not None else None
+
+
+_ENCODINGS = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}
 
 
 def _id3v2(data: bytes, at: int) -> tuple[int, dict]:
@@ -114,22 +167,37 @@ def _id3v2(data: bytes, at: int) -> tuple[int, dict]:
     major, flags = data[at + 3], data[at + 5]
     end = at + 10 + safe(data[at + 6 : at + 10])
     tags, p = {}, at + 10
-    if flags & 0x40 and p + 4 <= len(data):
+    if flags & 0x40 and major > 2 and p + 4 <= len(data):
         p += safe(data[p : p + 4]) if major == 4 else 4 + int.from_bytes(data[p : p + 4], "big")
-    while major in (3, 4) and p + 10 <= min(end, len(data)) and data[p]:
-        name = data[p : p + 4].decode("latin-1")
-        size = safe(data[p + 4 : p + 8]) if major == 4 else int.from_bytes(data[p + 4 : p + 8], "big")
-        body = data[p + 10 : min(p + 10 + size, end)]
+    head = 6 if major == 2 else 10
+    while major in (2, 3, 4) and p + head <= min(end, len(data)) and data[p]:
+        name = data[p : p + (3 if major == 2 else 4)].decode("latin-1")
+        size = int.from_bytes(data[p + 3 : p + 6], "big") if major == 2 else safe(data[p + 4 : p + 8]) if major == 4 else int.from_bytes(data[p + 4 : p + 8], "big")
+        body = data[p + head : min(p + head + size, end)]
         if name[0] == "T" and body:
-            text = body[1:].decode({0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(body[0], "latin-1"), "replace")
-            key, _, value = text.partition("\0") if name == "TXXX" else (name, "", text)
+            text = body[1:].decode(_ENCODINGS.get(body[0], "latin-1"), "replace")
+            key, _, value = text.partition("\0") if name in ("TXXX", "TXX") else (name, "", text)
             tags[key] = value.rstrip("\0")
-        p += 10 + size
+        p += head + size
     return end + (10 if flags & 0x10 else 0), tags
 
 
+def _ape(data: bytes, start: int, end: int) -> dict:
+    """The text items of an APEv2 tag between two places."""
+    tags, p = {}, start
+    while p + 9 <= end:
+        size, flags = int.from_bytes(data[p : p + 4], "little"), int.from_bytes(data[p + 4 : p + 8], "little")
+        stop = data.find(b"\0", p + 8, end)
+        if stop < 0 or stop + 1 + size > end:
+            break
+        if not flags >> 1 & 3:  # text
+            tags[data[p + 8 : stop].decode("latin-1")] = data[stop + 1 : stop + 1 + size].decode("utf-8", "replace")
+        p = stop + 1 + size
+    return tags
+
+
 def _trailer(data: bytes) -> tuple[int, dict]:
-    """Where the tags at the end begin, and what ID3v1 says."""
+    """Where the tags at the end begin, and what they say."""
     end, tags = len(data), {}
     if end >= 128 and data[end - 128 : end - 125] == b"TAG":
         end -= 128
@@ -138,6 +206,7 @@ def _trailer(data: bytes) -> tuple[int, dict]:
     if end >= 32 and data[end - 32 : end - 24] == b"APETAGEX":
         size, flags = int.from_bytes(data[end - 20 : end - 16], "little"), int.from_bytes(data[end - 12 : end - 8], "little")
         if 32 <= size <= end:
+            tags |= _ape(data, end - size, end - 32)
             end = max(0, end - size - (32 if flags >> 31 else 0))
     return end, tags
 
@@ -162,14 +231,21 @@ def _table(data: bytes, at: int, h: Header) -> dict:
                 out["delay"], out["padding"] = both >> 12, both & 0xFFF
             return out
     if data[at + 36 : at + 40] == b"VBRI":
-        return {"table": "VBRI", "bytes": int.from_bytes(data[at + 46 : at + 50], "big"), "frames": int.from_bytes(data[at + 50 : at + 54], "big")}
+        number = lambda lo, n: int.from_bytes(data[at + lo : at + lo + n], "big")
+        entries, scale, width, every = (number(k, 2) for k in (54, 56, 58, 60))
+        place, points = 0, []
+        for k in range(entries if 1 <= width <= 4 else 0):  # each entry is the bytes of so many frames
+            place += number(62 + k * width, width) * scale
+            points.append(place)
+        return {"table": "VBRI", "bytes": number(46, 4), "frames": number(50, 4), "points": points, "every": every}
     return {}
 
 
 def parse(data: bytes) -> dict:
     """tags, offsets (of each audio frame), samples, rate, seconds (exact), table, crc_good, crc_bad, skipped, kbits, ancillary.
 
-    No audio frame: rate 0 and no duration. `ancillary` are the byte ranges after each layer III frame's side information."""
+    No audio frame: rate 0 and no duration. `ancillary` are the byte ranges after each layer III frame's side information. table: of Xing and Info
+    frames, bytes, toc (100 places in 256ths), delay and padding, of VBRI frames, bytes and points (bytes up to each `every` frames), as far as they are there."""
     tags, at = {}, 0
     while (end := _id3v2(data, at))[0] > at:
         tags |= end[1]
@@ -178,14 +254,33 @@ def parse(data: bytes) -> dict:
     tags = more | tags
     offsets, free, kbits = [], [], set()
     out = {"tags": tags, "offsets": offsets, "table": {}, "crc_good": 0, "crc_bad": 0, "skipped": 0, "samples": 0, "rate": 0, "kind": None, "ancillary": free, "kbits": kbits}
-    kind = None
+    kind, plain = None, None
+
+    def spaced(at: int, h: Header) -> int:
+        """Free format: the bytes of a frame without padding, by the next two headers that fit."""
+        near = stop if stop - at < 2 * 8192 else at + 8192
+        to = data.find(b"\xff", at + 24, near)
+        while to >= 0:
+            g = _header(data, to)
+            if g and g.kind == h.kind and not g.kbit:
+                step = to - at - h.pad
+                last = to + step + g.pad
+                third = _header(data, last) if last < stop else None
+                if last == stop or third is not None and third.kind == h.kind and not third.kbit:
+                    return step
+            to = data.find(b"\xff", to + 1, near)
+        return 0
+
     while at < stop:
-        h = _header(data, at)
-        if h and (kind is None or h.kind == kind) and at + h.size <= stop:
-            after = _header(data, at + h.size) if at + h.size < stop else h
-            good = after is not None and after.kind == h.kind
-        else:
-            good = False
+        h, size = _header(data, at), 0
+        if h and (kind is None or h.kind == kind):
+            size = h.size
+            if not size and (step := plain or spaced(at, h)):
+                size = step + h.pad
+        good = bool(size) and at + size <= stop
+        if good:
+            after = _header(data, at + size) if at + size < stop else h
+            good = after is not None and after.kind == h.kind and bool(after.size) == bool(h.size)
         if not good:
             if (inner := _id3v2(data, at))[0] > at:  # a tag that is not at the beginning
                 at = inner[0]
@@ -202,17 +297,18 @@ def parse(data: bytes) -> dict:
             if table := _table(data, at, h):
                 out["table"] = table
                 out["first"] = at
-                at += h.size
+                at += size
                 continue
-        if h.crc and h.layer == 3:
-            good = crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) == int.from_bytes(data[at + 4 : at + 6], "big")
-            out["crc_good" if good else "crc_bad"] += 1
+        plain = None if h.size else size - h.pad
+        if h.crc:
+            out["crc_good" if h.crc_good(data[at : at + size]) else "crc_bad"] += 1
         offsets.append(at)
         kbits.add(h.kbit)
         out["samples"] += h.samples
+        out["end"] = at + size
         if h.layer == 3:
-            free.append((at + 4 + 2 * h.crc + h.side, at + h.size))
-        at += h.size
+            free.append((at + 4 + 2 * h.crc + h.side, at + size))
+        at += size
     trim = out["table"].get("delay", 0) + out["table"].get("padding", 0)
     out["samples"] = max(0, out["samples"] - trim)
     out["seconds"] = Fraction(out["samples"], out["rate"]) if out["rate"] else Fraction(0)
@@ -250,7 +346,9 @@ def carry(payload: bytes) -> bytes:
 def payload_of(data: bytes, info: dict | None = None) -> bytes:
     """What carry() stored, read from the frames."""
     info = info or parse(data)
-    return b"".join(data[a:b] for a, b in info["ancillary"])[: int(info["tags"].get("payload_bytes", 0))]
+    said = info["tags"].get("payload_bytes", "0")
+    n = int(said) if said.isascii() and said.isdigit() and len(said) < 16 else 0  # another's stream may say anything
+    return b"".join(data[a:b] for a, b in info["ancillary"])[:n]
 
 
 def padded(raw: bytes, unit: int = 64) -> bytes:
@@ -269,7 +367,8 @@ def _encode(batches):
 
 
 def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, media: each whole text as UTF-8 with padding in a media column. A null text is empty; ids are not looked at."""
+    """doc_id, n_bytes, media: each whole text as UTF-8 with padding in a media column. A null text is empty; ids and other columns are not looked at, and repeated
+    rows are rows of their own. A very long text is encoded alone. No rows give no rows."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return small_batches(rows).mapInArrow(_encode, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
@@ -287,7 +386,7 @@ def _analyse(batches):
         m = media or b""
         x = parse(m)
         payload, t = payload_of(m, x), x["table"]
-        agrees = t.get("frames") in (None, len(x["offsets"])) and (not t or t.get("bytes") in (None, (x["offsets"][-1] + _header(m, x["offsets"][-1]).size if x["offsets"] else 0) - x["first"]))
+        agrees = t.get("frames") in (None, len(x["offsets"])) and (not t or t.get("bytes") in (None, x.get("end", 0) - x["first"]))
         d, digest = x["seconds"], hashlib.sha256()
         for o in x["offsets"]:
             digest.update(o.to_bytes(8, "big"))
@@ -312,6 +411,8 @@ def _analyse(batches):
 
 def analysed(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """What the frames of each stored stream say, see parse(); seek has the byte offset of each audio frame, and the duration is exact as
-    duration_num / duration_den seconds. A null or empty stream, or one without frames, has no frames, duration 0 / 1 and valid = false."""
+    duration_num / duration_den seconds. A null or empty stream, or one without frames, has no frames, duration 0 / 1 and valid = false. Any bytes are
+    read without failing; payload columns are those of an empty payload where no length is stored. Repeated rows are rows of their own, ids and other columns are not
+    looked at, and batches of long streams are cut. No rows give no rows."""
     rows = media.select(F.col(id_col).alias("doc_id"), F.col(media_col).alias("media"))
     return small_batches(rows).mapInArrow(_analyse, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {_FOUND}")

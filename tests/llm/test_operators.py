@@ -160,6 +160,81 @@ def test_mpeg_streams():
     assert mpeg.crc16(b"123456789") == 0xAEE7  # CRC-16/CMS
 
 
+def test_mpeg_foreign_streams(spark):
+    """Streams that are written here, bit by bit, and not by carry()."""
+    from lodestone.llm import mpeg
+
+    def crc(bits: str) -> int:
+        c = 0xFFFF
+        for b in bits:
+            top = (c >> 15) ^ int(b)
+            c = (c << 1 & 0xFFFF) ^ (0x8005 if top else 0)
+        return c
+
+    def frame(word: int, size: int, body: str) -> bytes:
+        """A protected frame: header, checksum over the last 16 bits of the header and body, body, zeros."""
+        head = f"{word:032b}"
+        bits = head + f"{crc(head[16:] + body):016b}" + body
+        return int(bits.ljust(size * 8, "0"), 2).to_bytes(size, "big")
+
+    r = random.Random(11)
+    some = lambda n: "".join(r.choice("01") for _ in range(n))
+    one = 0xFFFE0000 | 4 << 12 | 1 << 10  # layer I, 128 kbit/s, 48 kHz, stereo
+    joint = one | 1 << 6 | 1 << 4  # joint from subband 8 on
+    streams = {"I": [frame(one, 128, some(256)) for _ in range(3)], "I joint": [frame(joint, 128, some(4 * (8 * 2 + 24))) for _ in range(3)]}
+
+    def second(word, size, widths, bound, channels):
+        bits, picks = "", 0
+        for sub, width in enumerate(widths):
+            for _ in range(channels if sub < bound else 1):
+                own = some(width) if r.random() < 0.6 else "0" * width
+                picks += (1 if sub < bound else channels) * (int(own, 2) > 0)
+                bits += own
+        return frame(word, size, bits + some(2 * picks))
+
+    two = 0xFFFC0000
+    tables = {"a": [4] * 11 + [3] * 12 + [2] * 4, "b": [4] * 11 + [3] * 12 + [2] * 7, "c": [4] * 2 + [3] * 6, "d": [4] * 2 + [3] * 10, "lsf": [4] * 4 + [3] * 7 + [2] * 19}
+    streams["II a"] = [second(two | 8 << 12 | 1 << 10, 144 * 128 // 48, tables["a"], 32, 2) for _ in range(3)]
+    streams["II b"] = [second(two | 10 << 12 | 2 << 10 | 1 << 6 | 2 << 4, 144 * 192 // 32, tables["b"], 12, 2) for _ in range(3)]
+    streams["II c"] = [second(two | 2 << 12 | 1 << 10 | 3 << 6, 144 * 48 // 48, tables["c"], 32, 1) for _ in range(3)]
+    streams["II d"] = [second(two | 1 << 12 | 2 << 10 | 3 << 6, 144 * 32 // 32, tables["d"], 32, 1) for _ in range(3)]
+    streams["II lsf"] = [second(0xFFF40000 | 8 << 12 | 1 << 10 | 3 << 6, 144 * 64 // 24, tables["lsf"], 32, 1) for _ in range(3)]
+    for name, frames in streams.items():
+        x = mpeg.parse(b"".join(frames))
+        assert (x["crc_good"], x["crc_bad"], x["skipped"], len(x["offsets"])) == (3, 0, 0, 3), name
+        bad = bytearray(b"".join(frames))
+        bad[len(frames[0]) + 7] ^= 0x40
+        x = mpeg.parse(bytes(bad))
+        assert x["crc_good"] >= 2 and x["crc_bad"] == 1, name
+
+    free = 0xFFFB0000 | 1 << 10 | 3 << 6  # layer III, free format, 48 kHz, one channel
+    sizes = [500, 501, 500, 500]
+    media = b"".join((free | (k % 2 and 1) << 9).to_bytes(4, "big").ljust(n, b"\0") if n != 501 else (free | 1 << 9).to_bytes(4, "big").ljust(n, b"\0") for k, n in zip((0, 1, 0, 0), sizes, strict=True))
+    x = mpeg.parse(b"xx" + media)
+    assert x["offsets"] == [2, 502, 1003, 1503] and x["skipped"] == 2 and x["seconds"] * 48000 == 4 * 1152
+
+    plain = (0xFFFB0000 | 9 << 12 | 1 << 10 | 3 << 6).to_bytes(4, "big")  # 128 kbit/s: 384 bytes
+    size = 384
+    vbri = (plain + bytes(32) + b"VBRI" + bytes(6) + (3 * size).to_bytes(4, "big") + (2).to_bytes(4, "big") + b"".join(n.to_bytes(2, "big") for n in (2, 2, 2, 1)) + (96).to_bytes(2, "big") + (192).to_bytes(2, "big")).ljust(size, b"\0")
+    x = mpeg.parse(vbri + 2 * plain.ljust(size, b"\0"))
+    assert x["table"] == {"table": "VBRI", "bytes": 3 * size, "frames": 2, "points": [192, 576], "every": 1} and len(x["offsets"]) == 2
+    tag22 = b"ID3\x02\0\0\0\0\0\x13" + b"TT2\0\0\x06\0Title" + bytes(7)
+    item = (5).to_bytes(4, "little") + bytes(4) + b"Artist\0" + "Ännä".encode()[:5]
+    ape = item + b"APETAGEX" + (2000).to_bytes(4, "little") + (len(item) + 32).to_bytes(4, "little") + (1).to_bytes(4, "little") + bytes(12)
+    x = mpeg.parse(tag22 + 3 * plain.ljust(size, b"\0") + ape)
+    assert x["tags"]["TT2"] == "Title" and "Artist" in x["tags"] and len(x["offsets"]) == 3 and x["skipped"] == 0
+
+    def said(value: bytes) -> bytes:
+        text = b"\x03payload_bytes\0" + value
+        return b"ID3\x04\0\0" + bytes((0, 0, 0, 10 + len(text))) + b"TXXX" + bytes((0, 0, 0, len(text))) + b"\0\0" + text + 2 * plain.ljust(size, b"\0")
+
+    odd = [said(b"many"), said(b"-5"), said("٣".encode()), said(b"9" * 40), said(b"3"), None, b"", b"\xff" * 3000, media, vbri, said(b"3")]
+    rows = spark.createDataFrame([(k // 2, m, 1) for k, m in enumerate(odd)], "doc_id long, media binary, valid int")
+    got = mpeg.analysed(rows).collect()
+    assert sorted(r.payload_bytes for r in got) == [0] * 9 + [3, 3] and sorted(r.frames for r in got) == [0, 0, 0, 0, 2, 2, 2, 2, 2, 2, 4]
+    assert mpeg.analysed(rows.limit(0)).collect() == []
+
+
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
