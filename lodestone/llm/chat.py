@@ -16,6 +16,12 @@ from lodestone.llm.common import scratch
 BLOCK = 512
 #: Roles as they are rendered; others are rendered under their own name.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
+#: What a marker in a turn's own text is rendered as, so that no text can close its turn and open another; `<|` is how every marker begins.
+MARKER, SHOWN = "<|", "<\\|"
+
+
+def _plain(text: Column) -> Column:
+    return F.replace(text, F.lit(MARKER), F.lit(SHOWN))
 
 
 def _hashes(place: Column, role: Column, text: Column) -> list[Column]:
@@ -60,13 +66,16 @@ def maximal(turns: DataFrame, **columns) -> tuple[DataFrame, DataFrame]:
 
 
 def rendered(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """conv_id, n_turns, chat: the maximal conversations, each as one text.
+    r"""conv_id, n_turns, chat: the maximal conversations, each as one text.
 
     A null role is rendered as `user` and a null text as an empty one, though they count as different when conversations
     are compared. Rows with a null conversation id are left out. Repeated rows are turns of their own. Turns need
-    not begin at a certain number nor be without gaps: their order counts. No rows give no rows."""
+    not begin at a certain number nor be without gaps: their order counts. A `<|` in a text or role is rendered as `<\|`, and line breaks in a role as a space, so that turns
+    can't be forged. Conversations of very many turns are hashed in blocks; only the rows of one turn number are sorted together. Of equal conversations the smallest id
+    stays. Other columns are not looked at. No rows give no rows."""
     each, stay = maximal(turns, id_col=id_col, turn_col=turn_col, role_col=role_col, text_col=text_col, block=block)
-    turn = F.concat(F.lit(OPEN), F.coalesce("role", F.lit("user")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit(CLOSE))
+    role = F.regexp_replace(_plain(F.coalesce("role", F.lit("user"))), "[\\r\\n]+", " ")
+    turn = F.concat(F.lit(OPEN), role, F.lit("\n"), _plain(F.coalesce("text", F.lit(""))), F.lit(CLOSE))
     kept = each.join(stay, "conv_id").select("conv_id", "n_turns", F.struct("place", turn.alias("turn")).alias("t"))
     chats = kept.groupBy("conv_id", "n_turns").agg(F.array_sort(F.collect_list("t")).alias("all"))
     return chats.select("conv_id", "n_turns", F.array_join(F.transform("all", lambda t: t["turn"]), "\n").alias("chat"))

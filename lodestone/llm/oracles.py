@@ -61,7 +61,7 @@ SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(b, doc_id))
 
 OP9 = """
 WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS p FROM conversations WHERE conv_id IS NOT NULL),
-c AS (SELECT conv_id, list({'r': role, 'x': text} ORDER BY p) AS l, count(*)::BIGINT AS n, string_agg('<|im_start|>' || coalesce(role, 'user') || chr(10) || coalesce(text, '') || '<|im_end|>', chr(10) ORDER BY p) AS chat FROM t GROUP BY 1),
+c AS (SELECT conv_id, list({'r': role, 'x': text} ORDER BY p) AS l, count(*)::BIGINT AS n, string_agg('<|im_start|>' || regexp_replace(replace(coalesce(role, 'user'), '<|', '<' || chr(92) || '|'), '[\\r\\n]+', ' ', 'g') || chr(10) || replace(coalesce(text, ''), '<|', '<' || chr(92) || '|') || '<|im_end|>', chr(10) ORDER BY p) AS chat FROM t GROUP BY 1),
 inner_ AS (SELECT DISTINCT l[1:k] AS l FROM (SELECT l, unnest(range(1, n)) AS k FROM c)),
 first_ AS (SELECT min(conv_id) AS conv_id FROM c WHERE l NOT IN (SELECT l FROM inner_) GROUP BY l)
 SELECT conv_id, n AS n_turns, chat FROM c WHERE conv_id IN (SELECT conv_id FROM first_)

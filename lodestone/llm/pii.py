@@ -18,10 +18,10 @@ EXTRA = ("iban", "ssn")
 #: takes, the score that an extra kind needs, and how far nearby is.
 SCORE = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.5, "iban": 0.8, "ssn": 0.3}
 NEAR = {
-    "email": "mail|contact|write to|@", "ip": "\\bip\\b|address|server|host", "card": "card|visa|master|amex|payment|credit|pay\\b",
-    "phone": "phone|tel|call|mobile|fax|whatsapp", "iban": "iban|bank|account|konto|compte|cuenta|transfer", "ssn": "ssn|social security|tax",
+    "email": "\\b(?:e-?mails?|contacts?|write to|reach)\\b|@", "ip": "\\b(?:ip|address|addr|servers?|hosts?)\\b", "card": "\\b(?:cards?|visa|mastercard|amex|payments?|credit|pay|paid)\\b",
+    "phone": "\\b(?:(?:tele|smart)?phones?|tel|calls?|mobile|fax|whatsapp)\\b", "iban": "\\b(?:iban|banks?|accounts?|konto|compte|cuenta|transfers?)\\b", "ssn": "\\b(?:ssns?|social security|tax|taxpayer)\\b",
 }
-AGAINST = "version|serial|part no|order no|isbn|sku|example"
+AGAINST = "\\b(?:version|serial|part no|order no|isbn|sku|example)\\b"
 RAISE, LOWER, NEEDED, REACH = 0.2, 0.2, 0.5, 48
 #: Length of an IBAN by country.
 IBAN = {
@@ -155,14 +155,25 @@ def spans(text: Column) -> Column:
 
 
 def detected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and spans, a row for each row of docs; see spans(). Null ids and repeated rows are rows like others."""
+    """doc_id and spans, a row for each row of docs; see spans(). Null ids and repeated rows are rows like others, a null text has no spans, a very long one is
+    searched whole, other columns are not looked at; no rows give no rows. Spans that begin at one place stand in the order of their kinds."""
     return docs.select(F.col(id_col).alias("doc_id"), spans(F.col(text_col)).alias("spans"))
 
 
+def _free(df: DataFrame, name: str) -> str:
+    """A name that no column of df has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def redacted(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """docs with `<kind>` for each span (of overlapping ones, that which begins first, then as kinds are listed), and the length column
-    made to follow. Texts without spans, null ones included, stay as they are, and so do all other columns."""
+    made to follow. Texts without spans, null ones included, stay as they are, and so do all other columns, whatever their names. Repeated rows are rows
+    like others; very long texts are taken whole; no rows give no rows."""
     text = F.col(text_col)
+    found, parts = _free(docs, "spans"), _free(docs, "cut")
     none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
     start = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
@@ -170,13 +181,13 @@ def redacted(docs: DataFrame, text_col: str = "text", length_col: str | None = "
         more = F.concat(acc["out"], F.array(F.struct(x["start"], x["end"], x["kind"])))
         return F.when(x["start"] >= acc["at"], F.struct(x["end"].alias("at"), more.alias("out"))).otherwise(acc)
 
-    cut = docs.withColumn("__spans", spans(text)).withColumn("__cut", F.aggregate("__spans", start, step, lambda acc: acc["out"])).drop("__spans")
-    c, last = F.col("__cut"), F.size("__cut") - 1
+    cut = docs.withColumn(found, spans(text)).withColumn(parts, F.aggregate(found, start, step, lambda acc: acc["out"])).drop(found)
+    c, last = F.col(parts), F.size(parts) - 1
     begin = lambda i: F.when(i > 0, c[F.greatest(i - 1, F.lit(0))]["end"]).otherwise(0)
     pieces = F.transform(c, lambda x, i: F.concat(F.substring(text, begin(i) + 1, x["start"] - begin(i)), F.lit("<"), x["kind"], F.lit(">")))
     tail = F.substring(text, c[F.greatest(last, F.lit(0))]["end"] + 1, F.length(text))
     new = F.when(last >= 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(text)
     cut = cut.withColumn(text_col, new)
     if length_col and length_col in docs.columns:
-        cut = cut.withColumn(length_col, F.when(F.size("__cut") > 0, F.length(F.col(text_col)).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
-    return cut.drop("__cut")
+        cut = cut.withColumn(length_col, F.when(F.size(parts) > 0, F.length(F.col(text_col)).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
+    return cut.drop(parts)

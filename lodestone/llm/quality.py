@@ -80,7 +80,8 @@ def _features(batches):
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, x: the statistics of every whole text; a null text is empty."""
+    """doc_id, x: the statistics of every whole text; a null text is empty. A very long one is measured alone. Null ids and repeated rows are rows like others; other columns
+    are not looked at; no rows give no rows."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return small_batches(rows).mapInArrow(_features, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, x array<double>")
 
@@ -125,13 +126,15 @@ class Model:
 
 
 def fitted(measures: DataFrame, labels: DataFrame, shrinkage: float = SHRINKAGE, ridge: float = RIDGE) -> Model:
-    """The model of labels (doc_id, label 0 or 1; null labels and ids are left out, repeated rows count each time).
+    """The model of labels (doc_id, label 0 or 1; null labels and ids are left out). A document counts once, by its least measures, whatever repeats its id; repeated
+    equal labels count once, and one that is labelled both ways counts for both.
 
     With no row of a class there are no densities, and every score is the share of label 1 (0.5 without labels)."""
     import numpy as np
 
     d = len(NAMES) + 1
-    rows = labels.where("doc_id is not null and label in (0, 1)").join(measures, "doc_id").select(F.col("label").cast("long").alias("label"), "x")
+    each = labels.where("doc_id is not null and label in (0, 1)").select("doc_id", F.col("label").cast("long").alias("label")).distinct()
+    rows = each.join(measures, "doc_id").groupBy("doc_id", "label").agg(F.min("x").alias("x")).select("label", "x")
     sums = small_batches(rows).mapInArrow(_moments, "c long, i long, j long, v double").groupBy("c", "i", "j").agg(F.sum("v").alias("v"))
     total = {0: np.zeros((d, d)), 1: np.zeros((d, d))}
     for c, i, j, v in sums.collect():  # 2 * d * d rows
