@@ -61,6 +61,11 @@ def _met(df: DataFrame, column: str, ids: DataFrame, most: int) -> tuple[DataFra
     return df.join(F.broadcast(bloom), maybe, "left_anti"), df.join(F.broadcast(bloom), maybe, "left_semi"), ids, df[column] == ids["__id"]
 
 
+def maybe(df: DataFrame, column: str, ids: DataFrame, most: int = BLOOM_ROWS) -> DataFrame:
+    """Rows of df whose `column` may be among ids: all that are, and a few others, for a join that tells."""
+    return _met(df, column, ids, most)[1]
+
+
 def without(df: DataFrame, column: str, ids: DataFrame, most: int = BLOOM_ROWS) -> DataFrame:
     """Rows of df whose `column` is not among ids (one column); rows with a null stay. Only rows that a Bloom table of the
     ids holds back are shuffled to meet the ids themselves."""

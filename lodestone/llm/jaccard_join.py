@@ -30,11 +30,11 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import only, scratch, slices, small_batches, without
+from lodestone.llm.common import maybe, scratch, slices, small_batches, without
 from lodestone.llm.components import connected_components
 
 #: The sketch has 2**SKETCH_BITS counters, which come in SLICES parts.
-SKETCH_BITS, SLICES = 20, 64
+SKETCH_BITS, SLICES = 22, 64
 #: Digests that a task remembers, to send equal sets once.
 REMEMBERED = 200_000
 #: N-grams in a block of a bundle: those of some hundred texts, or of one very long one.
@@ -189,7 +189,7 @@ def _rank_slices(batches):
 
     def ranked(total):
         middle = float(np.median(total))
-        above = (total - middle) / (6 * math.sqrt(max(middle, 4.0)))  # chance alone gives hardly any at six deviations
+        above = (total - middle) / (4 * math.sqrt(max(middle, 4.0)))  # chance alone gives few at four deviations, and those do no harm
         rank = np.floor(np.log2(np.maximum(above, 0.5)) * 3) + 1
         return np.clip(rank, 0, 31).astype(np.uint8).tobytes()
 
@@ -422,18 +422,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         sorted_rows = rows.repartition(*at).sortWithinPartitions(*at)
         return scratch(small_batches(sorted_rows).select(*at, "d1", "comp", "rep", "n", "sig").mapInArrow(*_possible(percent, kind)), "members")
 
-    def with_texts(rows: DataFrame) -> DataFrame:
-        return scratch(only(named, "id", rows.select("rep").distinct()).select("id", "text"), "texts")
-
-    def linked(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    def linked(rows: DataFrame) -> DataFrame:
+        texts = maybe(named, "id", rows.select("rep").distinct())
         sorted_rows = rows.join(texts, F.col("rep") == F.col("id")).repartition(*at).sortWithinPartitions(*at)
         return scratch(small_batches(sorted_rows).select(*at, "d1", "comp", "text").mapInArrow(_blocks(width, percent, ranks), "a long, b long"), "links")
 
     stay = possible(first)
-    texts = with_texts(stay)
     once = stay.groupBy("d1").agg(F.min(F.struct(*at, "comp", "rep")).alias("to")).select("to.bundle", "to.block", "d1", "to.comp", "to.rep")
     leading = stay.join(dealt.where("leads").select("bundle", "d1"), ["bundle", "d1"], "left_semi").select(*at, "d1", "comp", "rep")
-    links = linked(once.unionByName(leading).distinct(), texts)
+    links = linked(scratch(once.unionByName(leading).distinct(), "sent"))
     # the sets of the texts of one id belong together
     several = named_sets.groupBy("id").agg(F.min("d1").alias("a"), F.max("d1").alias("z")).where("a < z").select("id", "a")
     same = named_sets.select("id", "d1").join(several, "id").where("a != d1").select("a", F.col("d1").alias("b"))
@@ -449,7 +446,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     grid = beside(apart(dealt)).select("bundle", F.concat_ws("-", F.least(own, "to"), F.greatest(own, "to")).alias("block"), *row, "comp")
     rest = possible(rest.unionByName(grid))
     if not rest.isEmpty():
-        more = linked(rest, with_texts(rest))
+        more = linked(rest)
         comps = connected_components(more.unionByName(comps.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
     met = comps.join(of_set.select("d1", "d2", "n", "rep"), F.col("node") == F.col("d1"))
