@@ -10,6 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 _written: dict[str, SparkSession] = {}
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def folder(spark: SparkSession) -> str:
     """The shared folder: spark.checkpoint.dir, else SparkContext.setCheckpointDir's. With neither, a local master (tests) gets
     one below the warehouse; a cluster raises, as its executors would each write to a disk of their own."""
@@ -18,8 +24,7 @@ def folder(spark: SparkSession) -> str:
         told = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = told.get() if told.isDefined() else None
     if not root:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
+        if not is_local(spark):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     return root.rstrip("/")

@@ -208,10 +208,34 @@ def test_snapshot(spark, repo, tmp_path):
     again = Engine.analyze(spark, str(repo), cache=cache)
     assert again.reused and again.counts()["entities"]["module"] == 10
     assert snapshot.load(spark, cache, "0" * 40) is None and snapshot.load(spark, cache, None) is None and not snapshot.save(again.code, cache, None)
-    (tmp_path / "cache" / f"v{snapshot.VERSION}" / repository.head(str(repo)) / "done.json").write_text("{}")
+    mark = next((tmp_path / "cache" / f"v{snapshot.VERSION}" / repository.head(str(repo)) / "done").glob("part-*"))
+    mark.write_text("{}")
+    (mark.parent / f".{mark.name}.crc").unlink(missing_ok=True)
     assert snapshot.load(spark, cache, repository.head(str(repo))) is None
 
 
+def test_scratch(spark, monkeypatch, tmp_path):
+    from pathlib import Path
+
+    from lodestone.sources import scratch
+
+    t = scratch.scratch(spark.range(3), "some")
+    where = Path(t._scratch.removeprefix("file:"))
+    assert t.count() == 3 and where.exists()
+    scratch.forget(t)
+    scratch.forget(t)
+    scratch.forget(spark.range(1))
+    assert not where.exists()
+    monkeypatch.setattr(scratch, "is_local", lambda _: False)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.folder(spark)
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/")
+    try:
+        assert scratch.folder(spark) == f"file://{tmp_path}"
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
+
+
 def test_scope_and_limits(spark, repo, tmp_path):
     from lodestone.sources import repository
 
