@@ -214,7 +214,7 @@ def test_snapshot(spark, repo, tmp_path):
     assert snapshot.load(spark, cache, repository.head(str(repo))) is None
 
 
-def test_scratch(spark, monkeypatch, tmp_path):
+def test_scratch(spark):
     from pathlib import Path
 
     from lodestone.sources import scratch
@@ -226,14 +226,16 @@ def test_scratch(spark, monkeypatch, tmp_path):
     scratch.forget(t)
     scratch.forget(spark.range(1))
     assert not where.exists()
-    monkeypatch.setattr(scratch, "is_local", lambda _: False)
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        scratch.folder(spark)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/")
-    try:
-        assert scratch.folder(spark) == f"file://{tmp_path}"
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+    from types import SimpleNamespace as Of
+
+    def session(master, **conf):
+        none = Of(isDefined=lambda: False)
+        return Of(conf=Of(get=lambda k, other="/w": conf.get(k.rpartition(".")[2], other)), sparkContext=Of(master=master, _jsc=Of(sc=lambda: Of(getCheckpointDir=lambda: none))))
+
+    assert scratch.folder(session("local[4]")) == "/w/_scratch" and scratch.folder(session("yarn", dir="s3://x/")) == "s3://x"
+    for master in ("yarn", "spark://h:1", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            scratch.folder(session(master))
 
 
 def test_scope_and_limits(spark, repo, tmp_path):
