@@ -16,8 +16,7 @@ from lodestone.llm.common import scratch, table
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quadratic discriminant, fitted on labels.quality, scores 0.3 or more."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    _, model = quality.learned(docs, labels)
-    return quality.accepted(docs, model)
+    return quality.accepted(docs, quality.trained(docs, labels))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import scratch, slices, small_batches
+from lodestone.llm.common import maybe, scratch, slices, small_batches
 
 #: Statistics by name, in order.
 NAMES = ("words", "bytes a word", "distinct words", "repeats of the word before", "upper case", "digits", "stops", "symbols", "bars", "shouts", "lines", "words without letters", "long words", "other bytes", "commonest word")
@@ -176,8 +176,13 @@ def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     return measures, fitted(measures, labels)
 
 
+def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """The model of labels alone: only texts that may have a label are measured, told by a Bloom table of bounded size, and no text is shuffled."""
+    return fitted(measured(maybe(docs, id_col, labels.select("doc_id")), id_col, text_col), labels)
+
+
 def accepted(docs: DataFrame, model: Model, text_col: str = "text", keep: float = KEEP) -> DataFrame:
-    """The rows of docs, all columns, that score `keep` or more. Null texts score as empty ones."""
+    """The rows of docs, all columns, that score `keep` or more. Null texts score as empty ones; nulls, repeated rows and other columns are left as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     column = docs.columns.index(text_col)
 

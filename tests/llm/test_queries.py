@@ -128,3 +128,34 @@ def test_pipeline(spark, sf_dir, texts):
     assert {r.doc_id: r.taken for r in p.run(spark, sf_dir).collect()} == {i: r.taken for i, r in mix.items()}
     assert jaccard_join.deduplicated(kept).count() == len(near)
     assert p.STAGES[0][1](spark, spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0), sf_dir).agg(F.count("*")).first()[0] == 0
+
+
+def test_pipeline_of_odd_rows(spark, sf_dir):
+    """Nulls in every column, empty and long texts, repeated rows and ids, ties, and columns with names that operators use."""
+    import corpus_pipeline as p
+    from lodestone.llm.common import scratch
+
+    few = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 60")
+    own = few.collect()
+    clash = {"spans": "s", "size": "t", "label": "u", "id": "v", "score": "w", "__id": "x", "_keep": "y", "rep": "z", "target": "t", "flags": "f", "Text2": "g"}
+    rows = [tuple(r) for r in own] + [tuple(own[3])] * 3 + [(own[4].doc_id, own[5].text, None, None, None), (None, own[6].text, "en", "a", 5), (None, None, None, None, None), (9001, None, "en", "a", 0), (9002, "", "en", None, 0), (9003, " \n", None, "b", 2), (9004, own[7].text * 200, "en", "a", 9)]
+    docs = spark.createDataFrame(rows, few.schema)
+    for name, value in clash.items():
+        docs = docs.withColumn(name, F.lit(value))
+    columns = docs.columns
+    for k, (name, stage) in enumerate(p.STAGES):
+        before = docs.groupBy("doc_id").count().collect()
+        docs = scratch(stage(spark, docs, sf_dir), f"odd-{k}")
+        if k < len(p.STAGES) - 1:
+            assert docs.columns == columns and all(r[c] == v for r in docs.collect() for c, v in clash.items()), name
+        assert {r.doc_id for r in docs.collect()} <= {r.doc_id for r in before}
+        if name == "pii":
+            assert {r.doc_id: r["count"] for r in before} == {r.doc_id: r["count"] for r in docs.groupBy("doc_id").count().collect()}
+    assert set(docs.columns) == set(columns) | {"source_size", "taken"} and docs.count() > 10
+    again = spark.createDataFrame(rows, few.schema).repartition(3)
+    for name, value in clash.items():
+        again = again.withColumn(name, F.lit(value))
+    for _, stage in p.STAGES:
+        again = scratch(stage(spark, again, sf_dir), "odd")
+    said = lambda df: sorted((str(r.doc_id), r.text or "", r.taken) for r in df.collect())
+    assert said(docs) == said(again)
