@@ -34,7 +34,7 @@ from lodestone.llm.common import maybe, scratch, slices, small_batches, without
 from lodestone.llm.components import connected_components
 
 #: The sketch has 2**SKETCH_BITS counters, which come in SLICES parts.
-SKETCH_BITS, SLICES = 22, 64
+SKETCH_BITS, SLICES = 24, 64
 #: Digests that a task remembers, to send equal sets once.
 REMEMBERED = 200_000
 #: N-grams in a block of a bundle: those of some hundred texts, or of one very long one.
@@ -142,12 +142,13 @@ def _scan(width: int, bits: int):
 
         from lodestone.llm import shingles
 
-        counts = np.zeros(1 << bits, dtype=np.uint32)
+        counts = np.zeros(1 << bits, dtype=np.uint16)
         names = ["id", "n", "d1", "d2", "sig", "slice", "seen"]
         every, held = [], 0
 
         def add():
-            np.add(counts, np.bincount((np.concatenate(every) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), out=counts, casting="unsafe")
+            at, n = np.unique((np.concatenate(every) >> np.uint64(64 - bits)).astype(np.uint32), return_counts=True)
+            counts[at] = np.minimum(counts[at].astype(np.int64) + n, 65535)
 
         kind = None
         for batch in batches:
@@ -171,17 +172,24 @@ def _scan(width: int, bits: int):
             add()
         if kind is not None:
             n = min(SLICES, len(counts))
-            # the bytes of one weight stand together, as most are 0
-            packed = [zlib.compress(x.view(np.uint8).reshape(-1, 4).T.tobytes(), 1) for x in counts.reshape(n, -1)]
+            packed = []
+            for x in counts.reshape(n, -1):  # the places that are not 0, as distances, and their counts, each split into bytes of one weight
+                at = np.flatnonzero(x)
+                both = (np.diff(at, prepend=0).astype(np.uint32), x[at])
+                packed.append(zlib.compress(len(at).to_bytes(4, "little") + b"".join(v.view(np.uint8).reshape(len(v), v.itemsize).T.tobytes() for v in both), 1))
             none = pa.nulls(n, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.nulls(n, kind), none, none, none, pa.nulls(n, pa.binary()), pa.array(np.arange(n, dtype=np.int32)), pa.array(packed, pa.binary())], names=names)
 
     return run
 
 
-def _rank_slices(batches):
-    """Rows sorted by slice: for each slice of the sketch a rank for each bucket, 0 for what is not clearly above the middle one, then by
+def _rank_slices(size: int):
+    """Rows sorted by slice: for each slice of the sketch, of `size` buckets, a rank for each bucket, 0 for what is not clearly above the middle one, then by
     thirds of doublings of what is."""
+    return lambda batches: _ranked(batches, size)
+
+
+def _ranked(batches, size: int):
     import zlib
 
     import numpy as np
@@ -196,12 +204,14 @@ def _rank_slices(batches):
     now, total, out = None, None, []
     for batch in batches:
         for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            x = np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel()
             if k != now:
                 if now is not None:
                     out.append((now, ranked(total)))
-                now, total = k, np.zeros(len(x), dtype=np.int64)
-            total += x
+                now, total = k, np.zeros(size, dtype=np.int64)
+            raw = zlib.decompress(data)
+            n = int.from_bytes(raw[:4], "little")
+            steps, seen = (np.frombuffer(raw, np.uint8, n * width, lo).reshape(width, n).T.copy().view(kind).ravel() for lo, width, kind in ((4, 4, np.uint32), (4 + 4 * n, 2, np.uint16)))
+            total[np.cumsum(steps.astype(np.int64))] += seen
     if now is not None:
         out.append((now, ranked(total)))
     if out:
@@ -209,11 +219,11 @@ def _rank_slices(batches):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.binary())], names=["slice", "ranks"])
 
 
-def _ranks(spark: SparkSession, sketch: DataFrame):
+def _ranks(spark: SparkSession, sketch: DataFrame, bits: int):
     """Broadcast a byte for each bucket of the sketch; the driver sees these bytes, 2**SKETCH_BITS of them at most."""
     import numpy as np
 
-    rows = sketch.repartition(SLICES, "slice").sortWithinPartitions("slice").mapInArrow(_rank_slices, "slice int, ranks binary").collect()
+    rows = sketch.repartition(SLICES, "slice").sortWithinPartitions("slice").mapInArrow(_rank_slices(max(1, (1 << bits) // SLICES)), "slice int, ranks binary").collect()
     table = b"".join(bytes(r.ranks) for r in sorted(rows))
     return spark.sparkContext.broadcast(np.frombuffer(table or bytes(2), dtype=np.uint8))
 
@@ -383,7 +393,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kind = rows.schema["id"].dataType.simpleString()
     seen = scratch(small_batches(rows).mapInArrow(_scan(width, sketch_bits), f"id {kind}, n long, d1 long, d2 long, sig binary, slice int, seen binary"), "sets")
     sized = seen.where("slice is null").select("id", "n", "d1", "d2", "sig")
-    ranks = _ranks(spark, seen.where("slice is not null").select("slice", "seen"))
+    ranks = _ranks(spark, seen.where("slice is not null").select("slice", "seen"), sketch_bits)
     named_sets = sized.where("n > 0 and id is not null")
     of_set = scratch(named_sets.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "distinct")
 
