@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import _met, only, scratch, slices, small_batches, without
+from lodestone.llm.common import only, scratch, sifted, slices, small_batches, without
 
 MASK_BITS, LEAST, MOST, MIN_WORDS = 4, 8, 1024, 34
 _WINDOW = 16
@@ -121,7 +121,7 @@ def _subs(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataF
     zero = F.lit(0).cast("long").alias("sub")
     if again.isEmpty():
         return rows.select("doc_id", "text", zero), again
-    sure, maybe, ids, same = _met(rows, "doc_id", again, 1 << 18)
+    sure, maybe, ids, same = sifted(rows, "doc_id", again, 1 << 18)
     met = maybe.join(ids.hint("merge"), same, "left")
     sub = F.when(F.col("__id").isNotNull(), F.shiftrightunsigned(F.xxhash64("text"), 8)).otherwise(0).cast("long")
     return sure.select("doc_id", "text", zero).union(met.select("doc_id", "text", sub)), again

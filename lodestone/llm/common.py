@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from lodestone.sources.scratch import forget, scratch  # noqa: F401  (for the operators)
 
-#: White space of the word rule: space and 0x09-0x0D.
-SPACES = "[\\x20\\x09-\\x0D]"
+#: A word of the word rule: what stands between white space (space and 0x09-0x0D).
+WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def n_words(text):
     """Number of words of a text column; 0 for null."""
-    gaps = F.regexp_replace(F.coalesce(text, F.lit("")), f"^{SPACES}+|{SPACES}+$", "")
-    return F.when(gaps == "", F.lit(0)).otherwise(F.size(F.split(gaps, f"{SPACES}+"))).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
 #: Bytes of a batch that a Python worker gets, and rows of a Bloom table at most (about 12 MB when broadcast).
@@ -44,7 +43,7 @@ def _place(key, rows: int) -> tuple:
     return F.pmod(F.xxhash64(key, F.lit(7)), F.lit(rows)), bits
 
 
-def _met(df: DataFrame, column: str, ids: DataFrame, most: int) -> tuple[DataFrame, DataFrame, DataFrame, object]:
+def sifted(df: DataFrame, column: str, ids: DataFrame, most: int) -> tuple[DataFrame, DataFrame, DataFrame, object]:
     """(rows of df whose `column` is for certain not among ids, all others, the ids as a table, the condition that meets them).
 
     A blocked Bloom table of the ids tells them apart. It has `most` rows at most, whatever the number of ids, so it can be broadcast; with
@@ -63,19 +62,19 @@ def _met(df: DataFrame, column: str, ids: DataFrame, most: int) -> tuple[DataFra
 
 def maybe(df: DataFrame, column: str, ids: DataFrame, most: int = BLOOM_ROWS) -> DataFrame:
     """Rows of df whose `column` may be among ids: all that are, and a few others, for a join that tells."""
-    return _met(df, column, ids, most)[1]
+    return sifted(df, column, ids, most)[1]
 
 
 def without(df: DataFrame, column: str, ids: DataFrame, most: int = BLOOM_ROWS) -> DataFrame:
     """Rows of df whose `column` is not among ids (one column); rows with a null stay. Only rows that a Bloom table of the
     ids holds back are shuffled to meet the ids themselves."""
-    sure, others, ids, same = _met(df, column, ids, most)
+    sure, others, ids, same = sifted(df, column, ids, most)
     return sure.union(others.join(ids.hint("merge"), same, "left_anti"))
 
 
 def only(df: DataFrame, column: str, ids: DataFrame, most: int = BLOOM_ROWS) -> DataFrame:
     """Rows of df whose `column` is among ids (one column), in the same way."""
-    _, others, ids, same = _met(df, column, ids, most)
+    _, others, ids, same = sifted(df, column, ids, most)
     return others.join(ids.hint("merge"), same, "left_semi")
 
 

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import _met, scratch, slices, small_batches
+from lodestone.llm.common import scratch, sifted, slices, small_batches
 
 #: Occurrences in the corpus from which words and pairs are in the models.
 MIN_COUNT = 2
@@ -423,7 +423,7 @@ def _arrays(df: DataFrame):
 def _flagged(docs: DataFrame, target: DataFrame, id_col: str, text_col: str, others: DataFrame | None) -> DataFrame:
     """doc_id, text, flags of docs and of others, which are in neither model."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sure, maybe, ids, same = _met(rows, "doc_id", target.select(F.col(id_col)), 1 << 18)
+    sure, maybe, ids, same = sifted(rows, "doc_id", target.select(F.col(id_col)), 1 << 18)
     flag = F.when(F.col("__id").isNull(), BACKGROUND).otherwise(BACKGROUND + TARGET)
     met = scratch(maybe.join(ids.hint("merge"), same, "left").select("doc_id", "text", flag.cast("byte").alias("flags")), "flagged")
     out = sure.select("doc_id", "text", F.lit(BACKGROUND).cast("byte").alias("flags")).union(met)
