@@ -97,7 +97,17 @@ def test_mix(spark, sf_dir, texts):
 def test_others_run(spark, sf_dir, texts):
     scores = queries.op8_cross_entropy_difference(spark, sf_dir).collect()
     assert {r.doc_id for r in scores} == set(texts)
-    assert set(queries.op10_gear_chunk_dedup(spark, sf_dir).columns) >= {"doc_id", "start", "end"}
+
+
+def test_repeats(spark, sf_dir, texts):
+    from lodestone.llm.chunk_dedup import MIN_WORDS
+    from tests.llm.test_operators import chunk_spans
+
+    found = {}
+    for r in queries.op10_gear_chunk_dedup(spark, sf_dir).collect():
+        found.setdefault(r.doc_id, []).append((r.start, r.end, r.keep))
+    want = {i: x for i, x in chunk_spans({i: r.text or "" for i, r in texts.items()}, MIN_WORDS).items() if x}
+    assert want and {i: sorted(x) for i, x in found.items()} == want
 
 
 def test_pipeline(spark, sf_dir, texts):
