@@ -200,10 +200,12 @@ class Engine:
         if kind == "architecture":
             return diagrams.architecture(nodes, edges, self.ranks, self.communities, self.names, n, scope)
         if kind in ("call_flow", "dependencies"):
-            start = diagrams.find(nodes, scope or "", "entity" if kind == "call_flow" else "module")
+            if not scope or not scope.strip():
+                return diagrams.error(f"{kind} needs a name as its scope")
+            start = diagrams.find(nodes, scope, "entity" if kind == "call_flow" else "module")
             if start is None:
                 return diagrams.error(f"nothing is named {scope}")
-            return (diagrams.call_flow if kind == "call_flow" else diagrams.dependencies)(nodes, edges, start, n)
+            return diagrams.call_flow(nodes, edges, start, n) if kind == "call_flow" else diagrams.dependencies(nodes, edges, lambda: self.ranks, start, n)
         if kind == "layers":
             return diagrams.layers(nodes, edges, self.ranks, self.communities, self.names, n)
         if kind == "hotspot_map":

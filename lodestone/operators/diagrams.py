@@ -130,9 +130,10 @@ def architecture(nodes, edges, ranks, communities, names: dict, n: int, scope: s
     return str(d)
 
 
-def call_flow(nodes, edges, start: str, n: int, depth: int = 15) -> str:
+def call_flow(nodes, edges, start: str, n: int) -> str:
+    """The first n entities that calls lead to, by depth, then by id."""
     flow = edges.where("type = 'calls'")
-    near = algorithms.reach(flow, start, depth).orderBy("depth", "node").limit(max(0, n - 1))
+    near = algorithms.reach(flow, start, n).orderBy("depth", "node").limit(max(0, n - 1))
     chosen = [start, *(r["node"] for r in near.collect())]
     d = Drawing()
     d.nodes(d.take(nodes.where(F.col("id").isin(chosen))))
@@ -141,10 +142,14 @@ def call_flow(nodes, edges, start: str, n: int, depth: int = 15) -> str:
     return str(d)
 
 
-def dependencies(nodes, edges, centre: str, n: int) -> str:
+def dependencies(nodes, edges, ranks, centre: str, n: int) -> str:
+    """A module with what it imports and what imports it; if these are more than n, the most important ones. ranks is a function, as few need it."""
     touching = edges.where((F.col("type") == "imports") & ((F.col("src") == centre) | (F.col("dst") == centre)) & (F.col("src") != F.col("dst")))
-    near = touching.select(F.when(F.col("src") == centre, F.col("dst")).otherwise(F.col("src")).alias("id")).distinct().orderBy("id").limit(max(0, n - 1))
-    chosen = [centre, *(r["id"] for r in near.collect())]
+    near = touching.select(F.when(F.col("src") == centre, F.col("dst")).otherwise(F.col("src")).alias("id")).distinct()
+    most = max(0, n - 1)
+    if near.limit(most + 1).count() > most:
+        near = select(nodes.join(near, "id", "left_semi"), ranks(), degrees(edges), most)
+    chosen = [centre, *(r["id"] for r in near.select("id").collect())]
     d = Drawing()
     d.nodes(d.take(nodes.where(F.col("id").isin(chosen))))
     d.edges(touching)

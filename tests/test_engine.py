@@ -159,7 +159,9 @@ def test_diagrams(engine):
     assert "-.->|calls|" in engine.visualize("call_flow", "main")
     drawn = engine.visualize("call_flow", "no such thing at all")
     assert 'error_node["Error: nothing is named no ..."]' in drawn and "%% nothing is named no such thing at all" in drawn
-    assert "error_node" in engine.visualize("architecture", "no such folder")
+    assert "error_node" in engine.visualize("architecture", "no such folder") and "error_node" in engine.visualize("call_flow") and "error_node" in engine.visualize("dependencies", " ")
+    few = __import__("lodestone.operators.diagrams", fromlist=["x"]).dependencies(engine.code.nodes, engine.code.edges, lambda: engine.ranks, "shop/cart.py", 2)
+    assert few.count("imports") >= 1 and len([x for x in few.split("\n") if "[" in x]) == 2
     hot = engine.visualize("hotspot_map").split("\n")
     assert hot[1].strip().startswith("shop_prices_py[") and "style shop_prices_py fill:#ff5252" in drawn + "\n".join(hot) and hot[2].strip().startswith("shop_stock_py[")
     assert "fill:" in engine.visualize("layers") and 'subgraph layer_1["' in engine.visualize("layers")
