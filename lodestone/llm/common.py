@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.sources.scratch import forget, scratch  # noqa: F401  (for the operators)
+from lodestone.sources.scratch import forget, release, scratch  # noqa: F401  (for the operators)
 
 #: A word of the word rule: what stands between white space (space and 0x09-0x0D).
 WORD = "[^\\x20\\x09-\\x0D]+"
