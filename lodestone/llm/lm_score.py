@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import scratch, sifted, slices, small_batches
+from lodestone.llm.common import release, scratch, sifted, slices, small_batches
 
 #: Occurrences in the corpus from which words and pairs are in the models.
 MIN_COUNT = 2
@@ -460,6 +460,8 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "
     exact = rows.mapInArrow(_count_pairs(sent), "h long, n long, t long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
     pairs, *pair_seen = _arrays(exact) if len(asked) else (asked, asked.astype(float), asked.astype(float))
 
+    release(spark)  # the counts were shuffled
+
     m = {"vocab": vocab, "pairs": pairs, "smoothing": smoothing}
     for k, (name, all_, of_known, begins) in enumerate((("b", n, known_n, n - fn), ("t", t, known_t, t - ft))):
         m["mass_" + name] = float(all_) + 0.5 * (size + 1)
