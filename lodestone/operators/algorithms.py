@@ -8,7 +8,7 @@ from __future__ import annotations
 import random
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
@@ -204,8 +204,10 @@ def strong_components(edges: DataFrame) -> DataFrame:
         """make(state) until it has as much as before; make gives (state, a number that ends to change)."""
         state, before = first, None
         while True:
-            new = scratch(make(state), name)
-            now = new.agg(F.count("*"), F.sum(F.xxhash64(*new.columns).cast("decimal(20,0)"))).first()
+            seen, made = Observation(), make(state)
+            # counted as it is written
+            new = scratch(made.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*made.columns).cast("decimal(20,0)")).alias("sum")), name)
+            now = seen.get
             if state is not first:
                 forget(state)
             if now == before:
