@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -105,16 +106,20 @@ ISSUE = "type string, severity string, subject string, description string, sugge
 
 
 def detected(spark: SparkSession, rules: dict, most: int = 30) -> DataFrame:
-    """The issues of all rules (name -> function that gives its findings), see ranked(). Each rule runs by itself, so that one that fails gives an issue of low
-    severity that says so, and the others theirs."""
-    each = []
-    for name, find in rules.items():
+    """The issues of all rules (name -> function that gives its findings), see ranked(). Each rule runs by itself, side by side with the others, so that one that
+    fails gives an issue of low severity that says so, and the others theirs."""
+
+    def run(rule) -> DataFrame:
+        name, find = rule
         try:
-            each.append(scratch(described(name, find()), "issues"))
+            return scratch(described(name, find()), "issues")
         except Exception as e:  # whatever goes wrong in one rule
             what = str(e).strip().split("\n")[0][:300]
             row = (name, "low", name, f"{name} could not be looked for: {what}", "Analyse the repository again.", [], [], "rules")
-            each.append(spark.createDataFrame([row], ISSUE))
+            return spark.createDataFrame([row], ISSUE)
+
+    with ThreadPoolExecutor(max(1, len(rules))) as pool:  # the rules' jobs share the cluster
+        each = list(pool.map(run, rules.items()))
     return ranked(reduce(DataFrame.unionByName, each) if each else spark.createDataFrame([], ISSUE), most)
 
 
