@@ -30,7 +30,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import forget, maybe, release, scratch, slices, small_batches, without
+from lodestone.llm.common import forget, maybe, scratch, slices, small_batches, without
 from lodestone.llm.components import connected_components
 
 #: The sketch has 2**SKETCH_BITS counters, which come in SLICES parts.
@@ -407,7 +407,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     placed = members.join(of_set.drop("d2"), "d1").withColumns({"cls": F.floor(F.log("n") / step).cast("int"), "leads": F.col("d1") == F.col("bundle")})
     placed = scratch(placed, "placed")
     forget(pairs)
-    release(spark)  # the heads were shuffled twice
     at, own = ["bundle", "block"], F.concat_ws(".", "cls", "i")
     row = ["d1", "rep", "n", "sig"]
 
@@ -447,7 +446,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     several = named_sets.groupBy("id").agg(F.min("d1").alias("a"), F.max("d1").alias("z")).where("a < z").select("id", "a")
     same = named_sets.select("id", "d1").join(several, "id").where("a != d1").select("a", F.col("d1").alias("b"))
     comps = connected_components(links.unionByName(same.distinct()))
-    release(spark)
 
     def apart(rows: DataFrame) -> DataFrame:
         """Of rows, with the components so far, the bundles that hold more than one."""
