@@ -44,12 +44,6 @@ def scratch(df: DataFrame, what: str) -> DataFrame:
     return out
 
 
-def release(spark: SparkSession) -> None:
-    """Let the shuffle files of finished steps go now. Spark deletes them when the driver's JVM collects what refers to them, which it seldom does while
-    it has memory left, and until then they fill the executors' disks."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def forget(df: DataFrame | None) -> None:
     """Delete a table that scratch() has returned and that no later one reads; others are left alone."""
     path = getattr(df, "_scratch", None)
